@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexspark.functions.text import contains_folded, fold, tokens
-from lexspark.session import small_rows
+from lexspark.session import local_table, small_rows
 
 PHRASE = ("query_id", "concept", "phrase")
 # Tokens up to which a query table is pushed to the scan as an IN list.
@@ -72,18 +72,18 @@ class Terms:
     @staticmethod
     def of(queries: DataFrame) -> "Terms":
         rows = query_terms(queries)
-        known = small_rows(rows.select("tok", "plen", F.col("distancia").isNotNull().alias("near")))
+        known = small_rows(rows)
         if known is None:
             return Terms(rows, False, None, True, True, True, False)
         distinct = sorted({r.tok for r in known})
         return Terms(
-            rows=rows,
+            rows=local_table(queries.sparkSession, known, rows.schema),
             small=True,
             pushed=distinct if len(distinct) <= PUSHED_TOKENS else None,
             has_words=any(r.plen == 1 for r in known),
             has_phrases=any(r.plen > 1 for r in known),
-            has_near=any(r.near for r in known),
-            all_near=bool(known) and all(r.near for r in known),
+            has_near=any(r.distancia is not None for r in known),
+            all_near=bool(known) and all(r.distancia is not None for r in known),
         )
 
     def join_postings(self, posts: DataFrame, terms: DataFrame) -> DataFrame:
@@ -128,14 +128,14 @@ def word_hits(posts: DataFrame, terms: Terms) -> DataFrame:
     )
 
 
-def phrase_hits(posts: DataFrame, terms: Terms) -> DataFrame:
-    """Phrases of several tokens: all tokens in one column, positions lined up.
+def phrase_hits(posts: DataFrame, terms: Terms, shortest: int = 1) -> DataFrame:
+    """Phrases of any number of tokens: all in one column, positions lined up.
 
     Positions are compared only for documents that hold every token, by set
     intersection inside the row; nothing is exploded. The group is one phrase
     in one column of one document.
     """
-    rows = terms.rows.filter("plen > 1")
+    rows = terms.rows.filter(F.col("plen") >= shortest)
     keys = [c for c in _HIT if c != "starts"]
     parts = (
         terms.join_postings(posts, rows)
@@ -150,22 +150,18 @@ def phrase_hits(posts: DataFrame, terms: Terms) -> DataFrame:
         F.element_at("anchors", 1),
         lambda acc, x: F.array_intersect(acc, x),
     )
-    return (
-        parts.withColumn("anchors", anchored)
-        .withColumn("starts", F.sort_array(starts))
-        .filter(F.size("starts") > 0)
-        .select(*_HIT)
-    )
+    # Exploding the one list drops empty ones without computing it twice.
+    found = F.filter(F.array(F.sort_array(starts)), lambda s: F.size(s) > 0)
+    return parts.withColumn("anchors", anchored).withColumn("starts", F.explode(found)).select(*_HIT)
 
 
 def hits(posts: DataFrame, terms: Terms) -> DataFrame:
-    """All phrase instances, before any proximity rule."""
-    parts = []
-    if terms.has_words or not terms.has_phrases:
-        parts.append(word_hits(posts, terms))
-    if terms.has_phrases:
-        parts.append(phrase_hits(posts, terms))
-    return reduce(DataFrame.unionByName, parts)
+    """All phrase instances, before any proximity rule.
+
+    Words alone need no grouping. Mixed with phrases they go the same way as
+    these: one scan, and rows stay in the buckets of the index.
+    """
+    return phrase_hits(posts, terms) if terms.has_phrases else word_hits(posts, terms)
 
 
 def near_hits(found: DataFrame) -> DataFrame:

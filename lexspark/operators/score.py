@@ -18,14 +18,14 @@ MIN_IDF = 1e-6
 UNIT = 1e12
 
 
-def document_frequency(lib: Library, terms: Terms, phrases: DataFrame | None) -> DataFrame:
+def document_frequency(lib: Library, terms: Terms) -> DataFrame:
     """Documents per phrase, inside the searched column, over the whole corpus.
 
     Words are looked up in the term statistics; only phrases of several tokens
     are counted from their hits.
     """
     parts = []
-    if terms.has_words or phrases is None:
+    if terms.has_words or not terms.has_phrases:
         scoped = (
             F.when(F.col("buscar_en") == "rubro", F.col("df_rubro"))
             .when(F.col("buscar_en") == "texto", F.col("df_texto"))
@@ -33,7 +33,8 @@ def document_frequency(lib: Library, terms: Terms, phrases: DataFrame | None) ->
         )
         words = terms.join_statistics(lib.term_stats, terms.rows.filter("plen = 1"))
         parts.append(words.select(*PHRASE, scoped.alias("n")))
-    if phrases is not None:
+    if terms.has_phrases:
+        phrases = match.phrase_hits(lib.postings, terms, shortest=2)
         parts.append(
             phrases.select(*PHRASE, "id_tesis").distinct()
             .groupBy(*PHRASE).agg(F.count("*").alias("n"))
@@ -41,11 +42,10 @@ def document_frequency(lib: Library, terms: Terms, phrases: DataFrame | None) ->
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
-def contribution(stats: DataFrame, f: Column, n: Column, dl: Column) -> Column:
+def contribution(lib: Library, f: Column, n: Column, dl: Column) -> Column:
     """One phrase's part of the score of one document, in integer units."""
-    docs = stats.select("n_docs").scalar()
-    average = stats.select(F.expr("n_tokens / n_docs")).scalar()
-    idf = F.greatest(F.ln((docs - n + 0.5) / (n + 0.5)), F.lit(MIN_IDF))
+    docs, average = lib.size
+    idf = F.greatest(F.ln((F.lit(docs) - n + 0.5) / (n + 0.5)), F.lit(MIN_IDF))
     weight = f * (K1 + 1) / (f + K1 * (1 - B + B * dl / average))
     return F.floor(idf * weight * UNIT + 0.5)
 
@@ -57,21 +57,16 @@ def as_bm25(units: Column) -> Column:
 
 def scored(lib: Library, terms: Terms) -> DataFrame:
     """(query_id, id_tesis, units) of every document that satisfies its query."""
-    words = terms.has_words or not terms.has_phrases
-    phrases = match.phrase_hits(lib.postings, terms) if terms.has_phrases else None
-    found = match.word_hits(lib.postings, terms) if words else phrases
-    if words and phrases is not None:
-        found = found.unionByName(phrases)
-
+    found = match.hits(lib.postings, terms)
     frequency = (
         match.matching_hits(found, terms)
         .groupBy(*PHRASE, "n_concepts", "id_tesis", "dl")
         .agg(F.sum(F.size("starts")).cast("double").alias("f"))
     )
-    weighed = terms.join_phrases(frequency, document_frequency(lib, terms, phrases))
+    weighed = terms.join_phrases(frequency, document_frequency(lib, terms))
     return (
         weighed.withColumn(
-            "part", contribution(lib.corpus_stats, F.col("f"), F.col("n"), F.col("dl"))
+            "part", contribution(lib, F.col("f"), F.col("n"), F.col("dl"))
         )
         .groupBy("query_id", "id_tesis")
         .agg(match.all_concepts().alias("complete"), F.sum("part").alias("units"))

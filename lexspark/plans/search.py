@@ -23,7 +23,7 @@ from lexspark.operators import match, rank, score
 from lexspark.operators.filters import Filters
 from lexspark.operators.match import Terms
 from lexspark.operators.snippet import snippets
-from lexspark.session import durable, small_rows
+from lexspark.session import durable, local_table, small_rows
 from lexspark.sources.schema import QUERY
 from lexspark.sources.tables import Library
 
@@ -47,7 +47,7 @@ CONTRADICTION = list(match.CONTRADICTION)
 def query_table(spark: SparkSession, rows: Sequence[dict]) -> DataFrame:
     """Query table from dicts; `concepts` is a list of lists of synonyms."""
     full = [{"query_id": str(n), **DEFAULTS, **row} for n, row in enumerate(rows)]
-    return spark.createDataFrame([[r[f] for f in QUERY.names] for r in full], QUERY)
+    return local_table(spark, [[r[f] for f in QUERY.names] for r in full], QUERY)
 
 
 def completed(queries: DataFrame) -> DataFrame:

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Rows up to which a query table (or its ranked result) counts as small enough
 # to be broadcast or turned into a pushed-down IN list. Checked, never assumed.
@@ -50,3 +53,10 @@ def small_rows(df: DataFrame, limit: int = SMALL_ROWS) -> list | None:
     """The rows if there are at most `limit` of them, else None."""
     rows = df.limit(limit + 1).collect()
     return rows if len(rows) <= limit else None
+
+
+def local_table(spark: SparkSession, rows: list, schema: T.StructType) -> DataFrame:
+    """A few rows as a relation held in the plan; no task has to produce them."""
+    columns = to_arrow_schema(schema)
+    arrays = [pa.array([r[n] for r in rows], f.type) for n, f in enumerate(columns)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=columns), schema)

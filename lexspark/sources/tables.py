@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,12 @@ class Library:
     term_stats: DataFrame
     corpus_stats: DataFrame
 
+    @cached_property
+    def size(self) -> tuple[int, float]:
+        """Documents and mean tokens per document, from the one-row statistics table."""
+        row = self.corpus_stats.first()
+        return row.n_docs, (row.n_tokens / row.n_docs if row.n_docs else 0.0)
+
     @staticmethod
     def of(corpus: DataFrame) -> "Library":
         """Index computed on the fly; for small corpora and tests."""
