@@ -33,7 +33,7 @@ def _pieces(texts: DataFrame) -> DataFrame:
         *_DOC,
         F.regexp_extract_all(body, F.lit(pair), F.lit(1)).alias("gaps"),
         F.regexp_extract_all(body, F.lit(pair), F.lit(2)).alias("words"),
-        F.regexp_extract(body, rf"({_GAP}*)$", 1).alias("tail"),
+        F.regexp_extract(body, rf"({_GAP}*)\z", 1).alias("tail"),
     ).withColumn("n", F.size("words"))
 
 
@@ -53,7 +53,7 @@ def _best_window(pieces: DataFrame, instances: DataFrame) -> DataFrame:
     sentence = F.filter(
         F.transform(
             "gaps",
-            lambda g, i: F.when((i == 0) | g.rlike(r"[.:][ \t\n\r]+$"), i),
+            lambda g, i: F.when((i == 0) | g.rlike(r"[.:][ \t\n\r]+\z"), i),
         ),
         lambda i: i.isNotNull(),
     )

@@ -36,7 +36,7 @@ select cast(doc_id as {S}) as id_tesis,
   md5(text) as huella_digital,
   text as texto,
   case when doc_id % 7 = 0 then 'Contradicción de tesis ' || cast(doc_id as {S}) else '' end as precedentes,
-  timestamp '2026-01-01 00:00:00' + make_interval({MINUTES}) as fecha_descarga
+  timestamp '2026-01-01 00:00:00' + {MINUTES} as fecha_descarga
 from {DOCUMENTS}
 """
 
@@ -45,7 +45,7 @@ def derived_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(
         TESIS_SELECT.format(
             S="string",
-            MINUTES="0, 0, 0, 0, 0, cast(doc_id as int)",
+            MINUTES="make_interval(0, 0, 0, 0, 0, cast(doc_id as int))",
             DOCUMENTS=f"parquet.`{sf_dir}/documents.parquet`",
         )
     )

@@ -39,7 +39,8 @@ def parsed(replies: DataFrame) -> DataFrame:
     """Replies (requested_id, payload) with the record `r`, NULL unless it is an object."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     record = F.from_json("payload", REPLY, options)
-    return replies.withColumn("r", record).withColumn(
+    # Exploding the one record keeps it from being parsed once per field.
+    return replies.withColumn("r", F.explode(F.array(record))).withColumn(
         "valid", F.col("r").isNotNull() & F.col(f"r.{CORRUPT}").isNull()
     )
 
