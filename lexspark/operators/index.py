@@ -52,10 +52,16 @@ def content_hash() -> F.Column:
     return F.xxhash64(*[F.coalesce(F.col(c), F.lit("")) for c in INDEXED])
 
 
-def doc_stats(corpus: DataFrame) -> DataFrame:
-    """Tokens per document over all four columns, documents without tokens included."""
-    lengths = reduce(lambda a, b: a + b, [F.size(tokens(F.col(c))) for c in INDEXED])
-    return corpus.select("id_tesis", lengths.alias("dl"), content_hash().alias("content_hash"))
+def doc_stats(corpus: DataFrame, posts: DataFrame) -> DataFrame:
+    """Tokens per document over all four columns, documents without tokens included.
+
+    The lengths come from the postings; both sides are co-located when stored.
+    """
+    lengths = posts.groupBy("id_tesis").agg(F.max("dl").alias("dl"))
+    hashed = corpus.select("id_tesis", content_hash().alias("content_hash"))
+    return hashed.join(lengths, "id_tesis", "left").select(
+        "id_tesis", F.coalesce("dl", F.lit(0)).alias("dl"), "content_hash"
+    )
 
 
 def corpus_stats(stats: DataFrame) -> DataFrame:

@@ -45,7 +45,7 @@ class Library:
     def of(corpus: DataFrame) -> "Library":
         """Index computed on the fly; for small corpora and tests."""
         posts = index.postings(corpus)
-        stats = index.doc_stats(corpus)
+        stats = index.doc_stats(corpus, posts)
         return Library(corpus, posts, stats, index.term_stats(posts), index.corpus_stats(stats))
 
     @staticmethod
@@ -55,9 +55,10 @@ class Library:
         write_corpus(corpus, root, buckets)
         stored = spark.table(_name(root, "corpus")).drop(PARTITION)
         _write(index.postings(stored), root, "postings", buckets)
-        _write(index.doc_stats(stored), root, "doc_stats", buckets)
+        posts = spark.table(_name(root, "postings"))
+        _write(index.doc_stats(stored, posts), root, "doc_stats", buckets)
         (
-            index.term_stats(spark.table(_name(root, "postings")))
+            index.term_stats(posts)
             .sortWithinPartitions("tok")
             .write.mode("overwrite").parquet(f"{root}/term_stats")
         )
