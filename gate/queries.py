@@ -18,7 +18,7 @@ from lexspark.functions.text import keywords, tokens
 from lexspark.operators import filters as flt
 from lexspark.operators import index, match, rank, score
 from lexspark.operators.filters import Filters
-from lexspark.operators.match import Terms
+from lexspark.operators.match import Lookups
 from lexspark.plans import dossier as dossiers
 from lexspark.plans import health as checks
 from lexspark.plans import profile, reading, search
@@ -49,9 +49,10 @@ def _titled(lib, ranking: DataFrame) -> DataFrame:
 
 def _hits(lib, concepts, scope="todo", near=None) -> DataFrame:
     spark = lib.corpus.sparkSession
-    terms = Terms.of(search.query_table(
-        spark, [{"concepts": concepts, "buscar_en": scope, "distancia": near}]))
-    return match.matching_hits(match.hits(lib.postings, terms), terms)
+    table_ = search.query_table(
+        spark, [{"concepts": concepts, "buscar_en": scope, "distancia": near}])
+    lookups = Lookups.of(table_, lib.term_stats)
+    return match.matching_hits(match.hits(lib.postings, lookups), lookups)
 
 
 def _ids(found: DataFrame) -> DataFrame:
@@ -383,7 +384,7 @@ def render_full(spark, sf):
 def _scored(lib, concepts, scope="todo", near=None) -> DataFrame:
     table_ = search.query_table(
         lib.corpus.sparkSession, [{"concepts": concepts, "buscar_en": scope, "distancia": near}])
-    return score.scored(lib, Terms.of(table_)).select(
+    return score.scored(lib, Lookups.of(table_, lib.term_stats)).select(
         "id_tesis", score.as_bm25(F.col("units")).alias("bm25"))
 
 

@@ -4,6 +4,10 @@
 dl, col, starts), where `starts` are the token positions at which the phrase
 begins in that column of that document. OR, AND, scopes, proximity and score
 are aggregates over it.
+
+A phrase is looked up by its rarest token. Only the documents that hold this
+one are asked for the other tokens, so "derecho a la salud" never gathers the
+postings of "a" and "la".
 """
 
 from __future__ import annotations
@@ -16,21 +20,39 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexspark.functions.text import contains_folded, fold, tokens
-from lexspark.session import local_table, small_rows
+from lexspark.session import local_table, one_of, small_rows
 
 PHRASE = ("query_id", "concept", "phrase")
+# What every hit carries of its query. `n` is the document frequency where it is
+# known beforehand: of a word, in the searched column.
+ASKED = (*PHRASE, "n_concepts", "distancia", "buscar_en", "plen", "n")
+_HIT = (*ASKED, "id_tesis", "dl", "col", "starts")
 # Tokens up to which a query table is pushed to the scan as an IN list.
 PUSHED_TOKENS = 500
-# Copies of each query term, when the query table is too large to broadcast.
-SALTS = 32
+# Beyond the size that is broadcast: so many of the most frequent tokens are
+# dealt out over so many salts.
+HOT_TOKENS = 1000
+MAX_SALTS = 256
+
 
+def salted_join(many: DataFrame, few: DataFrame, keys: list[str], spread: str,
+                hot: Column | None = None) -> DataFrame:
+    """Equi-join in which one key may hold a large part of `many`.
 
-def salted_join(many: DataFrame, few: DataFrame, keys: list[str], spread: str) -> DataFrame:
-    """Equi-join in which one key may hold a large part of `many`: its rows are
-    dealt out by `spread`, and the rows of `few` are copied to every salt."""
-    dealt = many.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-    copies = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return dealt.join(copies, [*keys, "salt"]).drop("salt")
+    Rows of `many` are dealt out by `spread`, rows of `few` copied to every salt;
+    with `hot`, a condition on the keys, only for the keys it names.
+    """
+    salts = min(MAX_SALTS, int(many.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
+    every = F.sequence(F.lit(0), F.lit(salts - 1))
+    if hot is not None:
+        dealt = F.when(hot, dealt).otherwise(0)
+        every = F.when(hot, every).otherwise(F.array(F.lit(0)))
+    return (
+        many.withColumn("salt", dealt)
+        .join(few.withColumn("salt", F.explode(every)), [*keys, "salt"])
+        .drop("salt")
+    )
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -57,111 +79,162 @@ def query_terms(queries: DataFrame) -> DataFrame:
     )
 
 
+def phrase_lookups(terms: DataFrame) -> DataFrame:
+    """One row per phrase: its rarest token `tok` at `off`, and the `others`.
+
+    `terms` carries `n`, the document frequency of each token in the searched
+    column. A phrase with a token that no document holds is left out.
+    """
+    keys = [c for c in ASKED if c != "n"]
+    ordered = F.sort_array(F.collect_list(F.struct("n", "off", "tok")))
+    return (
+        terms.groupBy(*keys).agg(ordered.alias("t"))
+        .filter(F.size("t") == F.col("plen"))
+        .select(
+            *keys,
+            F.when(F.col("plen") == 1, F.col("t")[0].n).alias("n"),
+            F.col("t")[0].n.alias("most"),
+            F.col("t")[0].tok.alias("tok"),
+            F.col("t")[0].off.alias("off"),
+            F.transform(F.slice("t", 2, F.size("t")), lambda x: F.struct(x.tok, x.off)).alias("others"),
+        )
+    )
+
+
 @dataclass(frozen=True)
-class Terms:
-    """Query terms, with what is known of them when their number is small."""
+class Lookups:
+    """The phrases of a query table, ready to be looked up in an index.
+
+    Up to a checked size they are a local relation that is broadcast, their
+    tokens a pushed-down list. Beyond, they are joined, frequent tokens salted.
+    """
 
     rows: DataFrame
     small: bool
-    pushed: list[str] | None
-    has_words: bool
+    tokens: list[str] | None  # to push down
+    hot: list[str]  # to salt
     has_phrases: bool
     has_near: bool
     all_near: bool
+    most: int | None  # bound on the documents of a query
 
     @staticmethod
-    def of(queries: DataFrame) -> "Terms":
-        rows = query_terms(queries)
-        known = small_rows(rows)
+    def of(queries: DataFrame, term_stats: DataFrame) -> "Lookups":
+        terms = query_terms(queries)
+        known = small_rows(terms)
+        scoped = (
+            F.when(F.col("buscar_en") == "rubro", F.col("df_rubro"))
+            .when(F.col("buscar_en") == "texto", F.col("df_texto"))
+            .otherwise(F.col("df"))
+        )
         if known is None:
-            return Terms(rows, False, None, True, True, True, False)
-        distinct = sorted({r.tok for r in known})
-        return Terms(
-            rows=local_table(queries.sparkSession, known, rows.schema),
+            hot = [r.tok for r in term_stats.orderBy(F.col("df").desc()).limit(HOT_TOKENS).collect()]
+            counted = salted_join(terms, term_stats, ["tok"], "query_id", one_of("tok", hot))
+            rows = phrase_lookups(counted.withColumn("n", scoped).filter("n > 0"))
+            return Lookups(rows, False, None, hot, True, True, False, None)
+
+        asked = sorted({r.tok for r in known})
+        local = local_table(queries.sparkSession, known, terms.schema)
+        stats = term_stats.filter(one_of("tok", asked))
+        lookups = phrase_lookups(
+            stats.join(F.broadcast(local), "tok").withColumn("n", scoped).filter("n > 0")
+        )
+        rows = lookups.collect()  # at most one row per known term
+        held = {r.tok for r in rows} | {o.tok for r in rows for o in r.others}
+        return Lookups(
+            rows=local_table(queries.sparkSession, rows, lookups.schema),
             small=True,
-            pushed=distinct if len(distinct) <= PUSHED_TOKENS else None,
-            has_words=any(r.plen == 1 for r in known),
-            has_phrases=any(r.plen > 1 for r in known),
-            has_near=any(r.distancia is not None for r in known),
-            all_near=bool(known) and all(r.distancia is not None for r in known),
+            tokens=sorted(held) if len(held) <= PUSHED_TOKENS else None,
+            hot=[],
+            has_phrases=any(r.plen > 1 for r in rows),
+            has_near=any(r.distancia is not None for r in rows),
+            all_near=bool(rows) and all(r.distancia is not None for r in rows),
+            most=_most_documents(rows),
         )
 
-    def join_postings(self, posts: DataFrame, terms: DataFrame) -> DataFrame:
-        """Postings of the query terms. A frequent token is spread by document."""
-        posts = self._pushed_down(posts)
-        if self.small:
-            return posts.join(F.broadcast(terms), "tok")
-        return salted_join(posts, terms, ["tok"], "id_tesis")
+    def pushed_down(self, posts: DataFrame) -> DataFrame:
+        return posts if self.tokens is None else posts.filter(one_of("tok", self.tokens))
 
-    def join_statistics(self, stats: DataFrame, terms: DataFrame) -> DataFrame:
-        """Term statistics of the query terms. A frequent term is spread by query."""
-        stats = self._pushed_down(stats)
+    def join_first_token(self, posts: DataFrame) -> DataFrame:
+        """Postings of the token each phrase is looked up by."""
         if self.small:
-            return stats.join(F.broadcast(terms), "tok")
-        return salted_join(terms, stats, ["tok"], "query_id")
+            return self.pushed_down(posts).join(F.broadcast(self.rows), "tok")
+        return salted_join(posts, self.rows, ["tok"], "id_tesis", one_of("tok", self.hot))
 
     def join_phrases(self, rows: DataFrame, per_phrase: DataFrame) -> DataFrame:
-        """Add one value per phrase to rows keyed by phrase and document."""
+        """Add one value per phrase, if there is one, to rows keyed by phrase and document."""
         if self.small:
-            return rows.join(F.broadcast(per_phrase), list(PHRASE))
-        return salted_join(rows, per_phrase, list(PHRASE), "id_tesis")
+            return rows.join(F.broadcast(per_phrase), list(PHRASE), "left")
+        without, with_ = rows.filter("plen = 1"), rows.filter("plen > 1")
+        value = [f for f in per_phrase.schema if f.name not in PHRASE][0]
+        return salted_join(with_, per_phrase, list(PHRASE), "id_tesis").unionByName(
+            without.withColumn(value.name, F.lit(None).cast(value.dataType))
+        )
 
-    def _pushed_down(self, table: DataFrame) -> DataFrame:
-        return table if self.pushed is None else table.filter(F.col("tok").isin(self.pushed))
+
+def _most_documents(rows: list) -> int:
+    """Bound on the documents any one query matches, from its rarest tokens."""
+    concepts: dict = {}
+    for r in rows:
+        key = (r.query_id, r.concept)
+        concepts[key] = concepts.get(key, 0) + r.most
+    queries: dict = {}
+    for (query_id, _), n in concepts.items():
+        queries[query_id] = min(n, queries.get(query_id, n))
+    return sum(queries.values())
 
 
 def _in_scope() -> Column:
     return (F.col("buscar_en") == "todo") | (F.col("buscar_en") == F.col("col"))
 
 
-_HIT = (*PHRASE, "n_concepts", "distancia", "buscar_en", "plen", "id_tesis", "dl", "col", "starts")
-
-
-def word_hits(posts: DataFrame, terms: Terms) -> DataFrame:
+def word_hits(posts: DataFrame, lookups: Lookups) -> DataFrame:
     """Phrases of one token: a posting is the hit."""
-    rows = terms.rows.filter("plen = 1")
     return (
-        terms.join_postings(posts, rows)
+        lookups.join_first_token(posts)
         .filter(_in_scope())
         .withColumnRenamed("pos", "starts")
         .select(*_HIT)
     )
 
 
-def phrase_hits(posts: DataFrame, terms: Terms, shortest: int = 1) -> DataFrame:
+def phrase_hits(posts: DataFrame, lookups: Lookups) -> DataFrame:
     """Phrases of any number of tokens: all in one column, positions lined up.
 
-    Positions are compared only for documents that hold every token, by set
-    intersection inside the row; nothing is exploded. The group is one phrase
-    in one column of one document.
+    The other tokens are joined for the candidates only, on (document, column,
+    token): keys without hot values, co-located in the stored index. Positions
+    are then compared by set intersection inside the row. The group is one
+    phrase in one column of one document.
     """
-    rows = terms.rows.filter(F.col("plen") >= shortest)
     keys = [c for c in _HIT if c != "starts"]
-    parts = (
-        terms.join_postings(posts, rows)
+    candidates = (
+        lookups.join_first_token(posts)
         .filter(_in_scope())
-        .groupBy(*keys)
-        .agg(F.collect_list(F.struct("off", "pos")).alias("parts"))
-        .filter(F.size("parts") == F.col("plen"))
+        .withColumn("begin", F.transform("pos", lambda p: p - F.col("off")))
+        .select(*keys, "begin", F.explode_outer("others").alias("other"))
+        .select(*keys, "begin", F.col("other.tok").alias("tok"), F.col("other.off").alias("off"))
     )
-    anchored = F.transform("parts", lambda p: F.transform(p.pos, lambda x: x - p.off))
-    starts = F.aggregate(
-        F.slice("anchors", 2, F.size("anchors") - 1),
-        F.element_at("anchors", 1),
-        lambda acc, x: F.array_intersect(acc, x),
+    parts = (
+        candidates.join(
+            lookups.pushed_down(posts).select("id_tesis", "col", "tok", "pos"),
+            ["id_tesis", "col", "tok"], "left",
+        )
+        .groupBy(*keys)
+        .agg(
+            F.first("begin").alias("begin"),
+            F.collect_list(F.transform("pos", lambda p: p - F.col("off"))).alias("parts"),
+        )
+        .filter(F.size("parts") == F.col("plen") - 1)
     )
+    starts = F.aggregate("parts", F.col("begin"), lambda acc, x: F.array_intersect(acc, x))
     # Exploding the one list drops empty ones without computing it twice.
     found = F.filter(F.array(F.sort_array(starts)), lambda s: F.size(s) > 0)
-    return parts.withColumn("anchors", anchored).withColumn("starts", F.explode(found)).select(*_HIT)
-
+    return parts.withColumn("starts", F.explode(found)).select(*_HIT)
 
-def hits(posts: DataFrame, terms: Terms) -> DataFrame:
-    """All phrase instances, before any proximity rule.
 
-    Words alone need no grouping. Mixed with phrases they go the same way as
-    these: one scan, and rows stay in the buckets of the index.
-    """
-    return phrase_hits(posts, terms) if terms.has_phrases else word_hits(posts, terms)
+def hits(posts: DataFrame, lookups: Lookups) -> DataFrame:
+    """All phrase instances, before any proximity rule."""
+    return phrase_hits(posts, lookups) if lookups.has_phrases else word_hits(posts, lookups)
 
 
 def near_hits(found: DataFrame) -> DataFrame:
@@ -201,12 +274,12 @@ def near_hits(found: DataFrame) -> DataFrame:
     )
 
 
-def matching_hits(found: DataFrame, terms: Terms) -> DataFrame:
+def matching_hits(found: DataFrame, lookups: Lookups) -> DataFrame:
     """Hits after the proximity rule of the queries that have one."""
-    if not terms.has_near:
+    if not lookups.has_near:
         return found
     near = near_hits(found.filter(F.col("distancia").isNotNull()))
-    return near if terms.all_near else near.unionByName(found.filter(F.col("distancia").isNull()))
+    return near if lookups.all_near else near.unionByName(found.filter(F.col("distancia").isNull()))
 
 
 def all_concepts() -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexspark.operators import match
-from lexspark.operators.match import PHRASE, Terms
+from lexspark.operators.match import PHRASE, Lookups
 from lexspark.sources.tables import Library
 
 # Fixed values.
@@ -18,28 +18,13 @@ MIN_IDF = 1e-6
 UNIT = 1e12
 
 
-def document_frequency(lib: Library, terms: Terms) -> DataFrame:
-    """Documents per phrase, inside the searched column, over the whole corpus.
-
-    Words are looked up in the term statistics; only phrases of several tokens
-    are counted from their hits.
-    """
-    parts = []
-    if terms.has_words or not terms.has_phrases:
-        scoped = (
-            F.when(F.col("buscar_en") == "rubro", F.col("df_rubro"))
-            .when(F.col("buscar_en") == "texto", F.col("df_texto"))
-            .otherwise(F.col("df"))
-        )
-        words = terms.join_statistics(lib.term_stats, terms.rows.filter("plen = 1"))
-        parts.append(words.select(*PHRASE, scoped.alias("n")))
-    if terms.has_phrases:
-        phrases = match.phrase_hits(lib.postings, terms, shortest=2)
-        parts.append(
-            phrases.select(*PHRASE, "id_tesis").distinct()
-            .groupBy(*PHRASE).agg(F.count("*").alias("n"))
-        )
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+def document_frequency(found: DataFrame) -> DataFrame:
+    """Documents per phrase of several tokens, inside the searched column, over
+    the whole corpus. Words bring theirs from the term statistics."""
+    return (
+        found.filter("plen > 1").select(*PHRASE, "id_tesis").distinct()
+        .groupBy(*PHRASE).agg(F.count("*").alias("counted"))
+    )
 
 
 def contribution(lib: Library, f: Column, n: Column, dl: Column) -> Column:
@@ -55,19 +40,20 @@ def as_bm25(units: Column) -> Column:
     return F.round(-units / F.lit(UNIT), 6)
 
 
-def scored(lib: Library, terms: Terms) -> DataFrame:
+def scored(lib: Library, lookups: Lookups) -> DataFrame:
     """(query_id, id_tesis, units) of every document that satisfies its query."""
-    found = match.hits(lib.postings, terms)
-    frequency = (
-        match.matching_hits(found, terms)
-        .groupBy(*PHRASE, "n_concepts", "id_tesis", "dl")
+    found = match.hits(lib.postings, lookups)
+    weighed = (
+        match.matching_hits(found, lookups)
+        .groupBy(*PHRASE, "n_concepts", "plen", "n", "id_tesis", "dl")
         .agg(F.sum(F.size("starts")).cast("double").alias("f"))
     )
-    weighed = terms.join_phrases(frequency, document_frequency(lib, terms))
-    return (
-        weighed.withColumn(
-            "part", contribution(lib, F.col("f"), F.col("n"), F.col("dl"))
+    if lookups.has_phrases:
+        weighed = lookups.join_phrases(weighed, document_frequency(found)).withColumn(
+            "n", F.coalesce("n", "counted")
         )
+    return (
+        weighed.withColumn("part", contribution(lib, F.col("f"), F.col("n"), F.col("dl")))
         .groupBy("query_id", "id_tesis")
         .agg(match.all_concepts().alias("complete"), F.sum("part").alias("units"))
         .filter("complete")

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexspark.functions.text import RAW_TOKEN
+from lexspark.session import durable
 
 # Fixed values.
 WINDOW = 15
@@ -42,7 +43,8 @@ def snippets(texts: DataFrame, found: DataFrame) -> DataFrame:
 
     `found` holds the hits of at least these documents.
     """
-    pieces = _pieces(texts)
+    # Read by several steps below, so cut once. The result's rows bound its size.
+    pieces = durable(_pieces(texts))
     instances = found.filter("col = 'texto'").select(
         *_DOC, "plen", F.struct("concept", "phrase").alias("ph"), F.explode("starts").alias("pos")
     )

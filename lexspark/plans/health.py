@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from lexspark.operators import match
 from lexspark.operators.index import content_hash
-from lexspark.operators.match import Terms
+from lexspark.operators.match import Lookups
 from lexspark.plans.search import query_table
 from lexspark.session import local_table
 from lexspark.sources.schema import TESIS
@@ -83,8 +83,8 @@ def check_drift(lib: Library) -> DataFrame:
 
 def check_search(lib: Library, term: str = SANITY_TERM) -> DataFrame:
     """A common word has hits: the index is not empty."""
-    terms = Terms.of(query_table(lib.corpus.sparkSession, [{"concepts": [[term]]}]))
-    found = match.matches(match.hits(lib.postings, terms))
+    query = query_table(lib.corpus.sparkSession, [{"concepts": [[term]]}])
+    found = match.matches(match.hits(lib.postings, Lookups.of(query, lib.term_stats)))
     return found.agg(F.count("*").alias("n")).select(
         *_row("busqueda de prueba", F.col("n") > 0,
               F.concat(F.col("n").cast("string"), F.lit(f" documentos para '{term}'")))

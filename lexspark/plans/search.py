@@ -21,9 +21,9 @@ from lexspark.functions.text import keywords, tokens
 from lexspark.operators import filters as flt
 from lexspark.operators import match, rank, score
 from lexspark.operators.filters import Filters
-from lexspark.operators.match import Terms
+from lexspark.operators.match import Lookups
 from lexspark.operators.snippet import snippets
-from lexspark.session import durable, local_table, small_rows
+from lexspark.session import durable, local_table, one_of, small_rows
 from lexspark.sources.schema import QUERY
 from lexspark.sources.tables import Library
 
@@ -40,6 +40,8 @@ LISTED = (
     "tesis_codigo", "fuente",
 )
 CONTRADICTION = list(match.CONTRADICTION)
+# Documents up to which the metadata of all matches is fetched by id.
+FEW_DOCUMENTS = 2000
 
 
 # -- query tables -----------------------------------------------------------
@@ -87,24 +89,24 @@ def _listed(rows: DataFrame, order: Column, limit: Column) -> DataFrame:
     )
 
 
-def ranked_one(lib: Library, query: DataFrame, f: Filters, order: str, limit: int) -> DataFrame:
+def ranked_one(lib: Library, lookups: Lookups, f: Filters, order: str, limit: int) -> DataFrame:
     """Rank the documents of a single query, its filters pushed to the corpus scan."""
-    return _rank_scored(
-        score.scored(lib, Terms.of(query)), flt.apply_filters(lib.corpus, f), order, limit
-    )
-
-
-def _rank_scored(scored: DataFrame, corpus: DataFrame, order: str, limit: int) -> DataFrame:
-    # Both sides lie in the same buckets: no shuffle, and the scored side,
-    # at most one row per document of the bucket, is the one hashed.
-    rows = scored.hint("shuffle_hash").join(corpus.select(*_RANKING), "id_tesis")
+    scored = score.scored(lib, lookups)
+    corpus = flt.apply_filters(lib.corpus, f)
+    if lookups.most is not None and lookups.most <= FEW_DOCUMENTS:
+        # Few documents can match: fetch just their metadata by id.
+        scored = durable(scored)
+        rows = F.broadcast(scored).join(rows_of(corpus, scored).select(*_RANKING), "id_tesis")
+    else:
+        # Both sides lie in the same buckets: no shuffle, and the scored side,
+        # at most one row per document of the bucket, is the one hashed.
+        rows = scored.hint("shuffle_hash").join(corpus.select(*_RANKING), "id_tesis")
     return _listed(rows, F.lit(order), F.lit(limit))
 
 
-def ranked_batch(lib: Library, queries: DataFrame) -> DataFrame:
-    """Rank every query of a table; filters, order and limit are per query."""
-    queries = completed(queries)
-    scored = score.scored(lib, Terms.of(queries))
+def ranked_batch(lib: Library, queries: DataFrame, lookups: Lookups) -> DataFrame:
+    """Rank every query of a completed table; filters, order and limit are per query."""
+    scored = score.scored(lib, lookups)
     asked = flt.checked_filters(queries).select(
         "query_id", "orden", "limite",
         F.struct(*[F.col(name) for name in asdict(Filters())]).alias("q"),
@@ -118,7 +120,7 @@ def ranked_batch(lib: Library, queries: DataFrame) -> DataFrame:
     else:
         rows = match.salted_join(scored, asked, ["query_id"], "id_tesis")
     rows = (
-        rows.hint("shuffle_hash").join(meta, "id_tesis")
+        rows.join(meta, "id_tesis")
         .filter(flt.query_condition("q", "c"))
         .select("query_id", "units", "orden", "limite", "c.*")
     )
@@ -154,7 +156,7 @@ def rows_of(table: DataFrame, result: DataFrame) -> DataFrame:
     ids = small_rows(result.select("id_tesis").distinct())
     if ids is None:
         return table.join(result.select("id_tesis").distinct(), "id_tesis", "left_semi")
-    return table.filter(F.col("id_tesis").isin([r.id_tesis for r in ids]))
+    return table.filter(one_of("id_tesis", [r.id_tesis for r in ids]))
 
 
 def attach(result: DataFrame, corpus: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -162,15 +164,16 @@ def attach(result: DataFrame, corpus: DataFrame, columns: Sequence[str]) -> Data
     return result.join(rows_of(corpus, result).select("id_tesis", *columns), "id_tesis")
 
 
-def presented(lib: Library, ranking: DataFrame, queries: DataFrame | None) -> DataFrame:
+def presented(lib: Library, ranking: DataFrame, lookups: Lookups | None) -> DataFrame:
     """Result rows as a reader sees them: metadata, extract and marked fragment."""
     ranking = durable(ranking)
     rows = attach(ranking, lib.corpus, [*LISTED, "texto"])
     fragment = F.lit(None).cast("string").alias("fragmento")
-    if queries is not None:
-        terms = Terms.of(completed(queries))
-        found = match.matching_hits(match.hits(rows_of(lib.postings, ranking), terms), terms)
-        marked = snippets(rows.select("query_id", "id_tesis", "texto"), found)
+    if lookups is not None:
+        found = match.matching_hits(match.hits(rows_of(lib.postings, ranking), lookups), lookups)
+        # Hits of other queries on the same documents fall out here.
+        found = found.join(ranking.select("query_id", "id_tesis"), ["query_id", "id_tesis"], "left_semi")
+        marked = snippets(rows.select("query_id", "id_tesis", "texto"), durable(found))
         rows = rows.join(marked, ["query_id", "id_tesis"], "left")
         fragment = F.col("fragmento")
     return rows.select(
@@ -195,8 +198,9 @@ def _run(lib: Library, concepts: list[list[str]], f: Filters, *, order: str = ra
         lib.corpus.sparkSession,
         [{"concepts": concepts, "buscar_en": scope, "distancia": near}],
     )
-    ranking = ranked_one(lib, query, f, order, limit)
-    return presented(lib, ranking, query) if texts else ranking
+    lookups = Lookups.of(query, lib.term_stats)
+    ranking = ranked_one(lib, lookups, f, order, limit)
+    return presented(lib, ranking, lookups) if texts else ranking
 
 
 def _order(name: str) -> str:
@@ -322,15 +326,17 @@ def search_similar(lib: Library, id_tesis: str, limite: int = 15,
     if query is None:
         raise ValueError(f"id_tesis={id_tesis!r}: no such criterion, or no key words in its title")
     table = query_table(lib.corpus.sparkSession, [{"concepts": query.concepts}])
+    lookups = Lookups.of(table, lib.term_stats)
     ranking = ranked_one(
-        lib, table, Filters(solo_jurisprudencia, excluir=str(id_tesis)),
+        lib, lookups, Filters(solo_jurisprudencia, excluir=str(id_tesis)),
         rank.BY_SIMILARITY, rank.clamp(limite, 50),
     )
-    return presented(lib, ranking, table) if texts else ranking
+    return presented(lib, ranking, lookups) if texts else ranking
 
 
 def search_batch(lib: Library, queries: DataFrame, texts: bool = False) -> DataFrame:
     """Many searches in one job; `queries` has columns of QUERY, at least the first two."""
     queries = durable(completed(queries))
-    ranking = ranked_batch(lib, queries)
-    return presented(lib, ranking, queries) if texts else ranking
+    lookups = Lookups.of(queries, lib.term_stats)
+    ranking = ranked_batch(lib, queries, lookups)
+    return presented(lib, ranking, lookups) if texts else ranking

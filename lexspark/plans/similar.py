@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lexspark.functions.text import keywords, tokens
 from lexspark.operators import match, rank, score
-from lexspark.operators.match import Terms, salted_join
+from lexspark.operators.match import Lookups, salted_join
 from lexspark.plans.search import completed
 from lexspark.session import durable
 from lexspark.sources.tables import Library
@@ -50,7 +50,7 @@ def _occurrences(lib: Library, vocabulary: DataFrame) -> DataFrame:
     queries = completed(
         several.select(F.col("term").alias("query_id"), F.array(F.array("term")).alias("concepts"))
     )
-    found = match.phrase_hits(lib.postings, Terms.of(queries), shortest=2).groupBy(
+    found = match.phrase_hits(lib.postings, Lookups.of(queries, lib.term_stats)).groupBy(
         F.col("query_id").alias("term"), "id_tesis", "dl"
     ).agg(F.sum(F.size("starts")).cast("double").alias("f"))
     n = found.groupBy("term").agg(F.count("*").alias("n"))

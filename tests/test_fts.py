@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexspark.operators import score
 from lexspark.operators.filters import Filters
-from lexspark.operators.match import Terms
+from lexspark.operators.match import Lookups
 from lexspark.plans import search
 from lexspark.sources.tables import Library
 
@@ -35,7 +35,7 @@ def sqlite_scores(con, expression):
 
 def our_scores(lib, concepts, scope="todo", near=None):
     query = search.query_table(lib.corpus.sparkSession, [{"concepts": concepts, "buscar_en": scope, "distancia": near}])
-    return {r[0]: r[1] for r in score.scored(lib, Terms.of(query))
+    return {r[0]: r[1] for r in score.scored(lib, Lookups.of(query, lib.term_stats))
             .select("id_tesis", score.as_bm25(F.col("units"))).collect()}
 
 
@@ -89,8 +89,9 @@ def test_fragments(lib, sqlite, concepts, scope, near):
     """Marks, windows and ellipses are those of the reference engine's own snippets."""
     spark = lib.corpus.sparkSession
     query = search.query_table(spark, [{"concepts": concepts, "buscar_en": scope, "distancia": near}])
-    ranking = search.ranked_one(lib, query, Filters(), "vinculancia", 100)
-    got = {r.id_tesis: r.fragmento for r in search.presented(lib, ranking, query).collect()}
+    lookups = Lookups.of(query, lib.term_stats)
+    ranking = search.ranked_one(lib, lookups, Filters(), "vinculancia", 100)
+    got = {r.id_tesis: r.fragmento for r in search.presented(lib, ranking, lookups).collect()}
     want = dict(sqlite.execute("select id, snippet(f, 2, '«', '»', ' … ', 15) from f where f match ?",
                                [expression(concepts, scope, near)]).fetchall())
     assert got

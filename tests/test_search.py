@@ -114,7 +114,7 @@ def test_stored_index_is_searched_without_shuffling_postings(lib):
     from lexspark.operators import score
 
     query = search.query_table(lib.corpus.sparkSession, [{"concepts": [["mente", "the that"]]}])
-    plan = match.matches(match.hits(lib.postings, match.Terms.of(query)))._jdf.queryExecution().executedPlan().toString()
+    plan = match.matches(match.hits(lib.postings, match.Lookups.of(query, lib.term_stats)))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan
     assert "PushedFilters: [In(tok" in plan
 
