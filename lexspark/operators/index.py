@@ -89,6 +89,21 @@ def term_stats(posts: DataFrame) -> DataFrame:
     )
 
 
+def merge_counts(stats: DataFrame, removed: DataFrame, added: DataFrame) -> DataFrame:
+    """Statistics after some documents went and others came, from the three counts alone.
+
+    For term statistics (keyed by tok) and corpus statistics (one row).
+    """
+    keys = [c for c in stats.columns if c == "tok"]
+    counts = [c for c in stats.columns if c not in keys]
+    negative = removed.select(*keys, *[(-F.col(c)).alias(c) for c in counts])
+    merged = (
+        stats.unionByName(negative).unionByName(added)
+        .groupBy(*keys).agg(*[F.sum(c).alias(c) for c in counts])
+    )
+    return merged.filter("df > 0") if keys else merged
+
+
 def refresh_postings(posts: DataFrame, changed: DataFrame) -> DataFrame:
     """Postings after `changed` criteria (new or replaced, whole rows) came in."""
     kept = posts.join(changed.select("id_tesis"), "id_tesis", "left_anti")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexspark.operators import match
 from lexspark.operators.match import PHRASE, Lookups
+from lexspark.session import durable
 from lexspark.sources.tables import Library
 
 # Fixed values.
@@ -18,11 +19,11 @@ MIN_IDF = 1e-6
 UNIT = 1e12
 
 
-def document_frequency(found: DataFrame) -> DataFrame:
+def document_frequency(rows: DataFrame) -> DataFrame:
     """Documents per phrase of several tokens, inside the searched column, over
     the whole corpus. Words bring theirs from the term statistics."""
     return (
-        found.filter("plen > 1").select(*PHRASE, "id_tesis").distinct()
+        rows.filter("plen > 1").select(*PHRASE, "id_tesis").distinct()
         .groupBy(*PHRASE).agg(F.count("*").alias("counted"))
     )
 
@@ -49,6 +50,10 @@ def scored(lib: Library, lookups: Lookups) -> DataFrame:
         .agg(F.sum(F.size("starts")).cast("double").alias("f"))
     )
     if lookups.has_phrases:
+        if not lookups.has_near:
+            # Counted and weighed below: one small row per phrase and document
+            # is written, so that the postings are matched only once.
+            found = weighed = durable(weighed)
         weighed = lookups.join_phrases(weighed, document_frequency(found)).withColumn(
             "n", F.coalesce("n", "counted")
         )

@@ -23,9 +23,9 @@ from lexspark.operators import match, rank, score
 from lexspark.operators.filters import Filters
 from lexspark.operators.match import Lookups
 from lexspark.operators.snippet import snippets
-from lexspark.session import durable, local_table, one_of, small_rows
+from lexspark.session import durable, local_table, small_rows
 from lexspark.sources.schema import QUERY
-from lexspark.sources.tables import Library
+from lexspark.sources.tables import Library, rows_of
 
 SCOPES = ("todo", "rubro", "texto")
 DEFAULTS = {
@@ -147,18 +147,6 @@ def ranked_scan(lib: Library, concepts: list[list[str]], scope: str, f: Filters,
 
 # -- texts of ranked criteria -----------------------------------------------
 
-def rows_of(table: DataFrame, result: DataFrame) -> DataFrame:
-    """Rows of a bucketed table for the ids of a materialised result.
-
-    Up to a checked number of ids they are pushed down: only their buckets and
-    row groups are read. A larger result is joined.
-    """
-    ids = small_rows(result.select("id_tesis").distinct())
-    if ids is None:
-        return table.join(result.select("id_tesis").distinct(), "id_tesis", "left_semi")
-    return table.filter(one_of("id_tesis", [r.id_tesis for r in ids]))
-
-
 def attach(result: DataFrame, corpus: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Corpus columns of the ranked criteria. `result` must be cheap to read again."""
     return result.join(rows_of(corpus, result).select("id_tesis", *columns), "id_tesis")

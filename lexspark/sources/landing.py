@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexspark.sources.schema import CORRUPT, PAGE_KEYS, REPLY, TESIS, UPSTREAM
+from lexspark.sources.tables import rows_of
 
 
 def page_ids(pages: DataFrame) -> DataFrame:
@@ -32,7 +33,8 @@ def page_ids(pages: DataFrame) -> DataFrame:
 def new_ids(ids: DataFrame, corpus: DataFrame) -> DataFrame:
     """Ids not stored yet, compared as text."""
     wanted = ids.select(F.col("id_tesis").cast("string").alias("id_tesis")).distinct()
-    return wanted.join(corpus.select("id_tesis"), "id_tesis", "left_anti")
+    # A small batch is looked up by id; the stored ids are not shuffled for it.
+    return wanted.join(rows_of(corpus.select("id_tesis"), wanted), "id_tesis", "left_anti")
 
 
 def parsed(replies: DataFrame) -> DataFrame:
@@ -116,10 +118,7 @@ def run_log(replies: DataFrame, corpus: DataFrame) -> DataFrame:
         "valid", F.coalesce("r.idTesis", "requested_id").alias("id_tesis")
     )
     errors = checked.agg(F.count_if(~F.col("valid")).alias("errores"))
-    fresh = checked.filter("valid").select("id_tesis").distinct().join(
-        corpus.select("id_tesis"), "id_tesis", "left_anti"
-    )
-    new = fresh.agg(F.count("*").alias("nuevas"))
+    new = new_ids(checked.filter("valid"), corpus).agg(F.count("*").alias("nuevas"))
     stored = corpus.agg(F.count("*").alias("antes"))
     return _one_row([new, errors, stored]).select(
         "nuevas", "errores", (F.col("antes") + F.col("nuevas")).alias("total"),

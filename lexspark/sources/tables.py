@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lexspark.functions.text import fold
 from lexspark.operators import index
+from lexspark.session import one_of, small_rows
 
 PARTITION = "epoca_part"
 _TABLES = {
@@ -82,6 +83,18 @@ class Library:
         )
 
 
+def rows_of(table: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of a bucketed table for the ids of a result that is cheap to read again.
+
+    Up to a checked number of ids they are pushed down: only their buckets and
+    row groups are read. A larger result is joined.
+    """
+    ids = small_rows(wanted.select("id_tesis").distinct())
+    if ids is None:
+        return table.join(wanted.select("id_tesis").distinct(), "id_tesis", "left_semi")
+    return table.filter(one_of("id_tesis", [r.id_tesis for r in ids if r.id_tesis is not None]))
+
+
 def write_corpus(corpus: DataFrame, root: str, buckets: int) -> None:
     """Corpus partitioned by epoch, bucketed by id, sorted by id inside a file.
 

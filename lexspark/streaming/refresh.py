@@ -3,7 +3,9 @@
 A batch only ever *adds* files: its criteria, their postings and one log row go
 to directories named after the batch, so a retried batch overwrites its own
 output and nothing else. Readers take the newest version of each criterion, and
-postings of that version. `compact` folds the batches into a saved library.
+postings of that version. The batches may continue a saved library, which is
+read as it is, less the criteria they replace; its statistics are corrected by
+counting only what went and what came. `compact` folds all into a new library.
 """
 
 from __future__ import annotations
@@ -44,6 +46,7 @@ class Store:
     spark: SparkSession
     root: str
     mode: str = NEW_ONLY
+    base: Library | None = None
 
     # -- reading ------------------------------------------------------------
 
@@ -55,17 +58,50 @@ class Store:
             return self.spark.createDataFrame([], full)
         return self.spark.read.schema(full).parquet(f"{self.root}/{table}")
 
+    def _added(self) -> DataFrame:
+        """Newest version of each criterion the batches brought."""
+        return landing.latest(self._versions("corpus", TESIS), [F.col(BATCH)])
+
+    def _less_changed(self, table: DataFrame, changed: DataFrame) -> DataFrame:
+        # The changed ids are the few: the base table stays in its buckets.
+        return table.join(changed.select("id_tesis").distinct(), "id_tesis", "left_anti")
+
     def corpus(self) -> DataFrame:
-        versions = self._versions("corpus", TESIS)
-        return landing.latest(versions, [F.col(BATCH)]).drop(BATCH)
+        added = self._added().drop(BATCH)
+        if self.base is None:
+            return added
+        return self._less_changed(self.base.corpus.select(*TESIS.names), added).unionByName(added)
 
-    def postings(self) -> DataFrame:
-        """Postings of the newest version of each criterion."""
+    def _added_postings(self) -> DataFrame:
         newest = self._versions("corpus", TESIS).groupBy("id_tesis").agg(F.max(BATCH).alias(BATCH))
         return self._versions("postings", _POSTINGS).join(
             newest, ["id_tesis", BATCH], "left_semi"
         ).drop(BATCH)
 
+    def postings(self) -> DataFrame:
+        """Postings of the newest version of each criterion."""
+        added = self._added_postings()
+        if self.base is None:
+            return added
+        return self._less_changed(self.base.postings, self._added()).unionByName(added)
+
+    def library(self) -> Library:
+        """The current state as a library to search."""
+        added, posts = self._added().drop(BATCH), self._added_postings()
+        stats = index.doc_stats(added, posts)
+        if self.base is None:
+            return Library(added, posts, stats, index.term_stats(posts), index.corpus_stats(stats))
+        base = self.base
+        gone = base.doc_stats.join(added.select("id_tesis"), "id_tesis", "left_semi")
+        gone_posts = base.postings.join(added.select("id_tesis"), "id_tesis", "left_semi")
+        return Library(
+            self.corpus(),
+            self.postings(),
+            self._less_changed(base.doc_stats, added).unionByName(stats),
+            index.merge_counts(base.term_stats, index.term_stats(gone_posts), index.term_stats(posts)),
+            index.merge_counts(base.corpus_stats, index.corpus_stats(gone), index.corpus_stats(stats)),
+        )
+
     def run_log(self) -> DataFrame:
         return self._versions("run_log", _LOG)
 
@@ -76,23 +112,26 @@ class Store:
 
     def load(self, replies: DataFrame, batch: int) -> None:
         """One batch of replies: reject, normalise, keep what is new, index, log."""
-        before = self._before(batch)
+        before = self._ids_before(batch)
         incoming = landing.latest(
             landing.normalized(replies),
             [F.col("fecha_descarga"), F.xxhash64(*[c for c in TESIS.names if c != "fecha_descarga"])],
         )
         if self.mode == NEW_ONLY:
-            incoming = incoming.join(before.select("id_tesis"), "id_tesis", "left_anti")
+            fresh = landing.new_ids(incoming.select("id_tesis"), before)
+            incoming = incoming.join(fresh, "id_tesis", "left_semi").select(*TESIS.names)
         self._add(landing.run_log(replies, before).withColumn("fecha", F.current_timestamp()), "run_log", batch)
         self._add(landing.rejects(replies), "rejects", batch)
         self._add(incoming, "corpus", batch)
         written = self.spark.read.schema(TESIS).parquet(f"{self.root}/corpus/{BATCH}={batch}")
         self._add(index.postings(written), "postings", batch)
 
-    def _before(self, batch: int) -> DataFrame:
-        """The corpus as it was before this batch, also when the batch is retried."""
-        versions = self._versions("corpus", TESIS).filter(F.col(BATCH) < batch)
-        return landing.latest(versions, [F.col(BATCH)]).drop(BATCH)
+    def _ids_before(self, batch: int) -> DataFrame:
+        """Ids stored before this batch, also when the batch is retried."""
+        ids = self._versions("corpus", TESIS).filter(F.col(BATCH) < batch).select("id_tesis").distinct()
+        if self.base is None:
+            return ids
+        return self._less_changed(self.base.corpus.select("id_tesis"), ids).unionByName(ids)
 
     def _add(self, df: DataFrame, table: str, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.root}/{table}/{BATCH}={batch}")
@@ -109,4 +148,4 @@ class Store:
 
     def compact(self, target: str, buckets: int) -> Library:
         """Write the current corpus as a saved library in a new folder."""
-        return Library.save(self.corpus(), target, buckets)
+        return Library.save(self.corpus().select(*TESIS.names), target, buckets)

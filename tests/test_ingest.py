@@ -106,6 +106,33 @@ def test_stream_equals_batches(spark, tmp_path):
     assert {r.id_tesis: r.rubro for r in compacted.corpus.collect()} == titles(batched)
 
 
+def test_batches_continue_a_library(spark, tmp_path, criteria):
+    """Base and batches together answer like a library built from scratch."""
+    from lexspark.plans import search
+
+    rows = [{"id_tesis": str(i), "rubro": f"amparo tema{i % 3}", "texto": f"cuerpo del amparo directo {i}"} for i in range(20)]
+    base = Library.save(criteria(rows), str(tmp_path / "base"), 2)
+    store = Store(spark, str(tmp_path / "more"), UPSERT, base)
+    store.load(replies(spark, ("3", {"rubro": "tema9", "texto": "otra cosa"}), ("n", {"rubro": "amparo nuevo", "texto": ""})), 1)
+    store.load(replies(spark, ("4", {"rubro": "amparo amparo"}), ("3", {"rubro": "amparo directo"}), ("x", "[]")), 2)
+    assert [(r.nuevas, r.errores, r.total) for r in store.run_log().orderBy("batch").collect()] == [(1, 0, 21), (0, 1, 21)]
+    now = store.library()
+    scratch = Library.of(store.corpus())
+    for name in ("postings", "doc_stats", "term_stats", "corpus_stats"):
+        a, b = getattr(now, name), getattr(scratch, name)
+        assert sorted(map(str, a.select(b.columns).collect())) == sorted(map(str, b.collect())), name
+    for terms in (["amparo directo"], ["tema1", "nuevo"]):
+        a, b = (sorted(map(tuple, search.search_concept(x, terms).collect()), key=str) for x in (now, scratch))
+        assert a == b != []
+
+
+def test_new_only_continues_a_library(spark, tmp_path, criteria):
+    base = Library.save(criteria([{"id_tesis": "1", "rubro": "uno"}]), str(tmp_path / "base"), 2)
+    store = Store(spark, str(tmp_path / "more"), NEW_ONLY, base)
+    store.load(replies(spark, ("1", {"rubro": "otro"}), ("2", {"rubro": "dos"})), 1)
+    assert titles(store) == {"1": "uno", "2": "dos"}
+
+
 def test_upsert_and_refresh(spark, criteria):
     corpus = criteria([{"id_tesis": "1", "rubro": "a b"}, {"id_tesis": "2", "rubro": "c"}])
     changed = criteria([{"id_tesis": "2", "rubro": "d e"}, {"id_tesis": "3", "rubro": "f"}])
