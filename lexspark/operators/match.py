@@ -113,6 +113,7 @@ class Lookups:
     small: bool
     tokens: list[str] | None  # to push down
     hot: list[str]  # to salt
+    has_words: bool
     has_phrases: bool
     has_near: bool
     all_near: bool
@@ -131,7 +132,9 @@ class Lookups:
             hot = [r.tok for r in term_stats.orderBy(F.col("df").desc()).limit(HOT_TOKENS).collect()]
             counted = salted_join(terms, term_stats, ["tok"], "query_id", one_of("tok", hot))
             rows = phrase_lookups(counted.withColumn("n", scoped).filter("n > 0"))
-            return Lookups(rows, False, None, hot, True, True, False, None)
+            several = bool(terms.filter("plen > 1").head(1))
+            near = bool(terms.filter("distancia is not null").head(1))
+            return Lookups(rows, False, None, hot, True, several, near, False, None)
 
         asked = sorted({r.tok for r in known})
         local = local_table(queries.sparkSession, known, terms.schema)
@@ -146,6 +149,7 @@ class Lookups:
             small=True,
             tokens=sorted(held) if len(held) <= PUSHED_TOKENS else None,
             hot=[],
+            has_words=any(r.plen == 1 for r in rows),
             has_phrases=any(r.plen > 1 for r in rows),
             has_near=any(r.distancia is not None for r in rows),
             all_near=bool(rows) and all(r.distancia is not None for r in rows),
@@ -155,11 +159,11 @@ class Lookups:
     def pushed_down(self, posts: DataFrame) -> DataFrame:
         return posts if self.tokens is None else posts.filter(one_of("tok", self.tokens))
 
-    def join_first_token(self, posts: DataFrame) -> DataFrame:
-        """Postings of the token each phrase is looked up by."""
+    def join_first_token(self, posts: DataFrame, rows: DataFrame) -> DataFrame:
+        """Postings of the token each of these phrases is looked up by."""
         if self.small:
-            return self.pushed_down(posts).join(F.broadcast(self.rows), "tok")
-        return salted_join(posts, self.rows, ["tok"], "id_tesis", one_of("tok", self.hot))
+            return self.pushed_down(posts).join(F.broadcast(rows), "tok")
+        return salted_join(posts, rows, ["tok"], "id_tesis", one_of("tok", self.hot))
 
     def join_phrases(self, rows: DataFrame, per_phrase: DataFrame) -> DataFrame:
         """Add one value per phrase, if there is one, to rows keyed by phrase and document."""
@@ -191,15 +195,15 @@ def _in_scope() -> Column:
 def word_hits(posts: DataFrame, lookups: Lookups) -> DataFrame:
     """Phrases of one token: a posting is the hit."""
     return (
-        lookups.join_first_token(posts)
+        lookups.join_first_token(posts, lookups.rows.filter("plen = 1"))
         .filter(_in_scope())
         .withColumnRenamed("pos", "starts")
         .select(*_HIT)
     )
 
 
-def phrase_hits(posts: DataFrame, lookups: Lookups) -> DataFrame:
-    """Phrases of any number of tokens: all in one column, positions lined up.
+def phrase_hits(posts: DataFrame, lookups: Lookups, shortest: int = 1) -> DataFrame:
+    """Phrases of so many tokens or more: all in one column, positions lined up.
 
     The other tokens are joined for the candidates only, on (document, column,
     token): keys without hot values, co-located in the stored index. Positions
@@ -208,7 +212,7 @@ def phrase_hits(posts: DataFrame, lookups: Lookups) -> DataFrame:
     """
     keys = [c for c in _HIT if c != "starts"]
     candidates = (
-        lookups.join_first_token(posts)
+        lookups.join_first_token(posts, lookups.rows.filter(F.col("plen") >= shortest))
         .filter(_in_scope())
         .withColumn("begin", F.transform("pos", lambda p: p - F.col("off")))
         .select(*keys, "begin", F.explode_outer("others").alias("other"))

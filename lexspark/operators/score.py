@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,19 +43,30 @@ def as_bm25(units: Column) -> Column:
     return F.round(-units / F.lit(UNIT), 6)
 
 
+def _frequencies(found: DataFrame) -> DataFrame:
+    """Instances `f` of each phrase in each document, over the searched columns."""
+    return found.groupBy(*PHRASE, "n_concepts", "plen", "n", "id_tesis", "dl").agg(
+        F.sum(F.size("starts")).cast("double").alias("f")
+    )
+
+
 def scored(lib: Library, lookups: Lookups) -> DataFrame:
     """(query_id, id_tesis, units) of every document that satisfies its query."""
-    found = match.hits(lib.postings, lookups)
-    weighed = (
-        match.matching_hits(found, lookups)
-        .groupBy(*PHRASE, "n_concepts", "plen", "n", "id_tesis", "dl")
-        .agg(F.sum(F.size("starts")).cast("double").alias("f"))
-    )
+    if lookups.has_near:
+        found = match.hits(lib.postings, lookups)
+        weighed = _frequencies(match.matching_hits(found, lookups))
+    else:
+        # Words and phrases are brought to one small row per phrase and document
+        # each in its own way; if phrases are among them these rows are written,
+        # so that the postings are matched only once for counts and weights.
+        parts = []
+        if lookups.has_words or not lookups.has_phrases:
+            parts.append(_frequencies(match.word_hits(lib.postings, lookups)))
+        if lookups.has_phrases:
+            parts.append(_frequencies(match.phrase_hits(lib.postings, lookups, shortest=2)))
+        weighed = reduce(DataFrame.unionByName, parts)
+        found = weighed = durable(weighed) if lookups.has_phrases else weighed
     if lookups.has_phrases:
-        if not lookups.has_near:
-            # Counted and weighed below: one small row per phrase and document
-            # is written, so that the postings are matched only once.
-            found = weighed = durable(weighed)
         weighed = lookups.join_phrases(weighed, document_frequency(found)).withColumn(
             "n", F.coalesce("n", "counted")
         )

@@ -98,9 +98,8 @@ def ranked_one(lib: Library, lookups: Lookups, f: Filters, order: str, limit: in
         scored = durable(scored)
         rows = F.broadcast(scored).join(rows_of(corpus, scored).select(*_RANKING), "id_tesis")
     else:
-        # Both sides lie in the same buckets: no shuffle, and the scored side,
-        # at most one row per document of the bucket, is the one hashed.
-        rows = scored.hint("shuffle_hash").join(corpus.select(*_RANKING), "id_tesis")
+        # Both sides lie in the same buckets; a sort-merge join may spill.
+        rows = scored.join(corpus.select(*_RANKING), "id_tesis")
     return _listed(rows, F.lit(order), F.lit(limit))
 
 

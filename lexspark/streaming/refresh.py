@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,11 +53,12 @@ class Store:
 
     def _versions(self, table: str, schema: T.StructType) -> DataFrame:
         full = T.StructType([*schema.fields, T.StructField(BATCH, T.LongType())])
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
-        conf = self.spark._jsparkSession.sessionState().newHadoopConf()
-        if not path.getFileSystem(conf).exists(path):
+        try:
+            return self.spark.read.schema(full).parquet(f"{self.root}/{table}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], full)
-        return self.spark.read.schema(full).parquet(f"{self.root}/{table}")
 
     def _added(self) -> DataFrame:
         """Newest version of each criterion the batches brought."""
