@@ -22,7 +22,7 @@ def folder(spark: SparkSession, sf_dir: str, name: str) -> str:
 
 
 def buckets(spark: SparkSession) -> int:
-    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
+    return max(8, spark.sparkContext.defaultParallelism)
 
 
 def library(spark: SparkSession, sf_dir: str) -> Library:
