@@ -11,7 +11,6 @@ FULL_TEXT = 8000
 PRECEDENTS = 2000
 CUT_MARK = "... [truncado]"
 TIMELINE_TITLE = 140
-SIMILAR_TITLE = 100
 NO_EPOCH = "Sin época"
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspark.functions import court
-from lexspark.functions.text import contains_folded
+from lexspark.functions.text import contains_folded, fold
 
 
 @dataclass(frozen=True)
@@ -81,14 +81,12 @@ def literal_conditions(spark: SparkSession, f: Filters) -> list[Column]:
 
 
 def apply_filters(corpus: DataFrame, f: Filters) -> DataFrame:
-    conditions = literal_conditions(corpus.sparkSession, f)
+    spark = corpus.sparkSession
+    conditions = literal_conditions(spark, f)
     if f.epocas and "epoca_part" in corpus.columns:
         # The layout's own copy of the epoch prunes directories.
-        from lexspark.functions.text import fold
-
-        names = canonical_epochs(corpus.sparkSession, f.epocas)
-        folded = evaluate(corpus.sparkSession, F.transform(F.array(*map(F.lit, names)), fold))
-        conditions.append(F.col("epoca_part").isin(list(folded)))
+        names = F.array(*map(F.lit, canonical_epochs(spark, f.epocas)))
+        conditions.append(F.col("epoca_part").isin(list(evaluate(spark, F.transform(names, fold)))))
     return reduce(lambda df, condition: df.filter(condition), conditions, corpus)
 
 

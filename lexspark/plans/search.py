@@ -9,15 +9,15 @@ from __future__ import annotations
 
 import re
 from dataclasses import asdict
-from functools import reduce
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexspark.functions import court
-from lexspark.functions.cards import SIMILAR_TITLE, TIMELINE_TITLE, NO_EPOCH, extract
-from lexspark.functions.text import keywords, tokens
+from lexspark.functions.cards import NO_EPOCH, TIMELINE_TITLE, extract
+from lexspark.functions.text import keywords
 from lexspark.operators import filters as flt
 from lexspark.operators import match, rank, score
 from lexspark.operators.filters import Filters
@@ -134,11 +134,10 @@ def ranked_scan(lib: Library, concepts: list[list[str]], scope: str, f: Filters,
         rows = rows.filter(extra)
     if order in (rank.BY_SCORE, rank.BY_SIMILARITY):
         order = rank.BY_FORCE
+    # Without a score, the year follows the binding force directly.
     rows = rows.select(
-        F.lit("0").alias("query_id"), *_RANKING, F.lit(None).cast("bigint").alias("units")
+        F.lit("0").alias("query_id"), *_RANKING, F.lit(0).cast("bigint").alias("units")
     )
-    # Without a score, the year follows the binding force directly.
-    rows = rows.withColumn("units", F.lit(0).cast("bigint"))
     return _listed(rows, F.lit(order), F.lit(limit)).withColumn(
         "bm25", F.lit(None).cast("double")
     )
@@ -279,8 +278,7 @@ def timeline(lib: Library, tema: Sequence[str], anio_minimo: int = 2010, instanc
 
 
 def epoch_runs(rows: DataFrame) -> DataFrame:
-    from pyspark.sql import Window as W
-
+    """Number the runs of equal epochs along the ranking."""
     order = W.partitionBy("query_id").orderBy("rank")
     epoch = F.coalesce(F.nullif("epoca", F.lit("")), F.lit(NO_EPOCH))
     opens = F.coalesce((F.lag("epoca").over(order) != F.col("epoca")).cast("int"), F.lit(1))

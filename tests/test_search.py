@@ -1,7 +1,6 @@
 """The public searches: errors, equal forms, skewed corpora."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from lexspark import session
 from lexspark.operators import match
@@ -111,8 +110,6 @@ def test_saved_library_reopens(spark, lib, tmp_path):
 
 
 def test_stored_index_is_searched_without_shuffling_postings(lib):
-    from lexspark.operators import score
-
     query = search.query_table(lib.corpus.sparkSession, [{"concepts": [["mente", "the that"]]}])
     plan = match.matches(match.hits(lib.postings, match.Lookups.of(query, lib.term_stats)))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan
