@@ -177,3 +177,11 @@ def test_diff_of_equal_results_is_empty(lib):
 
 def test_cluster_needs_a_shared_folder(spark):
     assert session.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_large_results_are_joined_not_pushed_down(lib, monkeypatch):
+    from lexspark.sources import tables
+
+    small = rows(search.search_concept(lib, SYNONYMS, limite=40))
+    monkeypatch.setattr(tables, "small_rows", lambda df: None)
+    assert rows(search.search_concept(lib, SYNONYMS, limite=40)) == small != []
