@@ -95,6 +95,24 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
         [pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def kept_columns(df: DataFrame, keep: list[str] | None, made: list[str]) -> tuple[list[str], str]:
+    """Columns that an operator hands through (all of `df` if None), without those it
+    makes itself, and their schema as DDL."""
+    names = [c for c in (df.columns if keep is None else keep) if c not in made]
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    return names, ", ".join(f"`{c}` {kinds[c]}" for c in names)
+
+
+def with_columns(batch: pa.RecordBatch, keep: list[str], compute, made: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The batch's kept columns and those of compute(text), a few rows at a time."""
+    for at in range(0, batch.num_rows, 512):
+        part = batch.slice(at, 512)
+        columns = list(zip(*[compute(t.as_py()) for t in part.column("text")], strict=True))
+        yield pa.RecordBatch.from_arrays(
+            [*[part.column(c) for c in keep], *[pa.array(c, f.type) for c, f in zip(columns, made, strict=True)]],
+            names=[*keep, *made.names])
+
+
 def texts_of(batch: pa.RecordBatch) -> Iterator[tuple[int | None, str | None]]:
     """(doc_id, text) of a batch, one Python string at a time."""
     for n, t in zip(batch.column("doc_id"), batch.column("text"), strict=True):

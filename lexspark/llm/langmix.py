@@ -9,8 +9,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from lexspark.llm.common import batches, texts_of
+from lexspark.llm.common import kept_columns, with_columns
 
 #: Cells that character n-grams are hashed to, and the largest n.
 CELLS, N = 1 << 14, 3
@@ -131,35 +133,34 @@ def train(docs: DataFrame) -> Model:
     return Model(names.tolist(), counts / counts.sum(0))
 
 
-SCHEMA = "doc_id long, lang_pred string, score double, languages array<string>, shares array<double>"
+MADE = "lang_pred string, score double, languages array<string>, shares array<double>"
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score, languages, shares for every row of `docs` (doc_id,
-    text; other columns are not read).
+def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
+    """The rows of `docs` (with a column text) with lang_pred, score, languages, shares;
+    of its other columns those in `keep`, all without it.
 
     languages are the selected ones with their proportions, the largest first;
     lang_pred is the first of them, score its proportion times the posterior of the
     best language alone. A null text or one without a letter is `und` with score 0
     and no languages, and so is every text if nothing was learned. Texts are
-    predicted whole, each by itself; an empty table gives no rows.
+    predicted whole, each by itself; an empty table gives no rows. Columns with the
+    names of the new ones are replaced.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()),
-                        ("languages", pa.list_(pa.string())), ("shares", pa.list_(pa.float64()))])
+    made = to_arrow_schema(StructType.fromDDL(MADE))
+    names, ddl = kept_columns(docs, keep, made.names)
+
+    def one(text: str | None) -> tuple:
+        counts = grams(text) if model.languages else None
+        if counts is None:
+            return UNKNOWN, 0.0, [], []
+        chosen, shares, certain = model.mixture(counts)
+        order = np.argsort(-shares, kind="stable")
+        found = [model.languages[chosen[i]] for i in order]
+        return found[0], float(min(1.0, shares[order[0]] * certain)), found, shares[order].tolist()
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            for b in parts:
-                for doc, text in texts_of(b):
-                    counts = grams(text) if model.languages else None
-                    if counts is None:
-                        yield doc, UNKNOWN, 0.0, [], []
-                        continue
-                    chosen, shares, certain = model.mixture(counts)
-                    order = np.argsort(-shares, kind="stable")
-                    names = [model.languages[chosen[i]] for i in order]
-                    yield doc, names[0], float(min(1.0, shares[order[0]] * certain)), names, shares[order].tolist()
-
-        yield from batches(rows(), schema, lambda r: 64)
-
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+        for b in parts:
+            yield from with_columns(b, names, one, made)
+
+    return docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*names, "text"])]).mapInArrow(run, f"{ddl}, {MADE}" if ddl else MADE)

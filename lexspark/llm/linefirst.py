@@ -8,8 +8,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from lexspark.llm.common import BLANKS, batches, texts_of
+from lexspark.llm.common import BLANKS, kept_columns, with_columns
 
 # The characters that count as symbols and as punctuation marks.
 SYMBOLS = "#*$%&|<>"
@@ -67,13 +70,13 @@ def repeated_words(words: list[bytes]) -> int:
     return int(inside.sum())
 
 
-SCHEMA = ("doc_id long, text string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
+MADE = ("text string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
           "n_repeat_words long, kept_words long, n_navigation long, n_punctuation long, n_boilerplate long, "
           "base_failed boolean, kept boolean")
 
 
 def examine(text: str | None) -> tuple:
-    """The columns after doc_id of SCHEMA for one text."""
+    """The columns of MADE for one text."""
     text = text or ""
     data = text.encode()
     lines = data.split(b"\n")
@@ -102,24 +105,23 @@ def examine(text: str | None) -> tuple:
             *faults.values(), failed, kept)
 
 
-def clean(docs: DataFrame) -> DataFrame:
-    """Every row of `docs` (doc_id, text; other columns are not read) with its cleaned
-    text, its counts and the verdict `kept`.
+def clean(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Every row of `docs` (with a column text) with its cleaned text, its counts and
+    the verdict `kept`; of its other columns those in `keep`, all without it.
 
     Rules look at each line with a word; lines that break one are dropped, blank
     lines stay. A document is rejected if it fails the base rules (under 50 words, or
     over half of its words in repeated windows of three) or if less than half of its
     words are left. A null text counts as empty: no words, rejected. Texts are read
     whole, each by itself, so ties and repeated rows need no rule; an empty table
-    gives no rows. Nothing is shuffled.
+    gives no rows. Columns with the names of the new ones are replaced. Nothing is
+    shuffled.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    schema = to_arrow_schema(StructType.fromDDL(SCHEMA))
+    made = to_arrow_schema(StructType.fromDDL(MADE))
+    names, ddl = kept_columns(docs, keep, made.names)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((doc, *examine(text)) for b in parts for doc, text in texts_of(b))
-        yield from batches(rows, schema, lambda r: len(r[1]))
+        for b in parts:
+            yield from with_columns(b, names, examine, made)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*names, "text"])]).mapInArrow(run, f"{ddl}, {MADE}" if ddl else MADE)

@@ -77,12 +77,12 @@ def op6_pieces(spark, sf_dir):
 def op7_langmix(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = langmix.train(docs.where(~langmix.held_out() & F.col("doc_id").isNotNull()))
-    return langmix.predict(docs, model).select("doc_id", langmix.held_out().alias("held_out"), "lang_pred", "score", "languages", "shares")
+    return langmix.predict(docs, model, ["doc_id"]).select("doc_id", langmix.held_out().alias("held_out"), "lang_pred", "score", "languages", "shares")
 
 
 @query
 def op8_linefirst(spark, sf_dir):
-    return linefirst.clean(table(spark, sf_dir, "documents")).drop("text")
+    return linefirst.clean(table(spark, sf_dir, "documents"), ["doc_id"]).drop("text")
 
 
 @query

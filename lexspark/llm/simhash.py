@@ -26,29 +26,43 @@ KEY_COST, PAIR_COST = 2e-6, 5e-9
 SMALL_GROUP = 4096
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """The unsigned 64-bit SimHash of a whole text; 0 without a word."""
-    tokens = (text or "").encode().lower().split()
+def words_of(text: str | None) -> list[bytes]:
+    """Words with A-Z lower-cased; bytes.lower() changes nothing else, and bytes.split()
+    parts at [\\x20\\x09-\\x0D]."""
+    return (text or "").encode().lower().split()
+
+
+def shingle_hashes(tokens: list[bytes], words: int) -> Iterator[np.ndarray]:
+    """Unsigned XXH64 of every shingle of `words` words (of all, if there are fewer), in
+    arrays of a bounded size."""
     if not tokens:
-        return 0
-    digest = xxhash.xxh64_intdigest
+        return
+    digest, joined = xxhash.xxh64_intdigest, b" ".join(tokens)
     if len(tokens) <= words:
-        return digest(b" ".join(tokens), SEED)
-    # bytes.lower() changes A-Z only; bytes.split() parts at [\x20\x09-\x0D].
-    joined = b" ".join(tokens)
+        yield np.array([digest(joined, SEED)], "<u8")
+        return
     begins = np.cumsum([0, *[len(t) + 1 for t in tokens]])
     ends = (begins[words:] - 1).tolist()
-    begins = begins.tolist()
-    ones, step = np.zeros(BITS, np.int64), 1 << 16
-    n = len(tokens) - words + 1
-    for at in range(0, n, step):  # a bound on memory for very long texts
+    begins, n, step = begins.tolist(), len(tokens) - words + 1, 1 << 16
+    for at in range(0, n, step):
         upto = min(n, at + step)
-        hashes = np.array([digest(joined[b:e], SEED) for b, e in zip(begins[at:upto], ends[at:upto])], "<u8")
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(0, dtype=np.int64)
+        yield np.array([digest(joined[b:e], SEED) for b, e in zip(begins[at:upto], ends[at:upto])], "<u8")
+
+
+def majority(hashes: Iterator[np.ndarray]) -> int:
+    """The bits set in over half of the hashes; 0 without one."""
+    ones, n = np.zeros(BITS, np.int64), 0
+    for h in hashes:
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += len(h)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    """The unsigned 64-bit SimHash of a whole text; 0 without a word."""
+    return majority(shingle_hashes(words_of(text), words))
+
+
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, fp (the fingerprint's bits as a signed long), for every row of `docs`."""
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
@@ -215,84 +229,100 @@ class _Links:
 
     def reduce(self) -> tuple[np.ndarray, np.ndarray]:
         if not self.size:
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         a, b = forest(np.concatenate(self.a), np.concatenate(self.b))
         self.a, self.b, self.size = [a], [b], len(a)
         self.least = max(1 << 18, 2 * self.size)
         return a, b
 
 
-def compare_runs(fps: np.ndarray, starts: np.ndarray, distance: int, free: int, links: _Links) -> None:
-    """Link what is within `distance` inside each run of `fps` that begins at `starts`.
+def compare_runs(rows: "_Rows", starts: np.ndarray, distance: int, free: int, links: _Links) -> None:
+    """Link what is within `distance` inside each run of rows that begins at `starts`.
 
     Runs are compared with themselves shifted by 1, 2, ...; a run of more than
     SMALL_GROUP is first divided by the pigeonhole principle on its `free` bits, so
     that a crowded group costs far less than all its pairs, and loses none.
     """
-    sizes = np.diff(np.append(starts, len(fps)))
+    sizes = np.diff(np.append(starts, len(rows.fp)))
     free_bits = [b for b in range(BITS) if free >> b & 1]
-    for s, k in zip(starts[sizes > SMALL_GROUP], sizes[sizes > SMALL_GROUP]):
-        group = fps[s: s + k]
-        if len(free_bits) <= distance:  # no two differ in more bits than that
-            links.add(group[1:], np.full(k - 1, group[0]))
-            continue
+    large = (sizes > SMALL_GROUP) & (len(free_bits) > distance)
+    for s, k in zip(starts[large], sizes[large]):
+        group = rows.take(slice(s, s + k))
         for i in range(distance + 1):
             bits = free_bits[i::distance + 1]
-            key = group & np.uint64(mask_of(bits))
+            key = group.fp & np.uint64(mask_of(bits))
             order = np.argsort(key, kind="stable")
             inner = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
-            compare_runs(group[order], inner, distance, free & ~mask_of(bits), links)
-    small = sizes <= SMALL_GROUP
-    left = np.repeat(np.where(small, sizes, 0), sizes) - (np.arange(len(fps)) - np.repeat(starts, sizes))
+            compare_runs(group.take(order), inner, distance, free & ~mask_of(bits), links)
+    left = np.repeat(np.where(large, 0, sizes), sizes) - (np.arange(len(rows.fp)) - np.repeat(starts, sizes))
     row = np.flatnonzero(left > 1)
     shift = 1
     while len(row):
-        near = np.bitwise_count(fps[row] ^ fps[row + shift]) <= distance
-        links.add(fps[row[near]], fps[row[near] + shift])
+        near = row[np.bitwise_count(rows.fp[row] ^ rows.fp[row + shift]) <= distance]
+        if rows.checks is not None and len(near):
+            near = near[np.bitwise_count(rows.checks[near] ^ rows.checks[near + shift]).sum(1) <= rows.limit]
+        links.add(rows.node[near], rows.node[near + shift])
         shift += 1
         row = row[left[row] > shift]
 
 
-def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """a, b: links that connect all distinct fingerprints within `distance`.
+class _Rows:
+    """Fingerprints with the nodes they stand for and, if given, further bits of which
+    two linked ones differ in `limit` at most."""
+
+    def __init__(self, fp: np.ndarray, node: np.ndarray, checks: np.ndarray | None, limit: int):
+        self.fp, self.node, self.checks, self.limit = fp, node, checks, limit
+
+    def take(self, which) -> "_Rows":
+        return _Rows(self.fp[which], self.node[which], None if self.checks is None else self.checks[which], self.limit)
+
+
+def links(distinct: DataFrame, distance: int = DISTANCE, checks: tuple[str, ...] = (), limit: int = 0) -> DataFrame:
+    """a, b: links that connect the rows of `distinct` (fp, node: long) whose fp are
+    within `distance` and whose `checks` columns (long) differ in `limit` bits at most.
 
     Keys are made, dealt out and sorted by Spark; a task sees its keys one after the
-    other, compares the fingerprints of each, and hands on a forest. A key's
-    fingerprints are distinct and agree in a mask that the plan chose to be
-    selective; they are 8 bytes each.
+    other, compares the rows of each, and hands on a forest. A key's rows are
+    distinct and agree in a mask that the plan chose to be selective; they are a few
+    numbers each.
     """
     spark = distinct.sparkSession
     masks = plan(distinct, distance)
     signed = [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
-    keys = distinct.select("fp", F.posexplode(F.array(*map(F.lit, signed))).alias("slot", "mask")).select(
-        "slot", F.col("fp").bitwiseAND(F.col("mask")).alias("value"), "fp")
+    carried = list(dict.fromkeys(["fp", "node", *checks]))
+    keys = distinct.select(*carried, F.posexplode(F.array(*map(F.lit, signed))).alias("slot", "mask")).select(
+        "slot", F.col("fp").bitwiseAND(F.col("mask")).alias("value"), *carried)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, held = _Links(), None
 
-        def check(rows):
-            slot, value, fps = rows
+        def check(columns: list[np.ndarray]) -> None:
+            slot, value, fp, node, *more = columns
+            rows = _Rows(fp.view(np.uint64), node, np.stack(more, 1).view(np.uint64) if more else None, limit)
             starts = np.flatnonzero(np.append(True, (slot[1:] != slot[:-1]) | (value[1:] != value[:-1])))
             for first, upto in _by_slot(slot, starts):
-                compare_runs(fps[starts[first]: starts[upto] if upto < len(starts) else len(fps)],
-                             starts[first:upto] - starts[first], distance, ~masks[slot[starts[first]]] & (1 << BITS) - 1, found)
+                at = slice(starts[first], starts[upto] if upto < len(starts) else len(fp))
+                free = ~masks[slot[starts[first]]] & (1 << BITS) - 1
+                compare_runs(rows.take(at), starts[first:upto] - starts[first], distance, free, found)
 
         for b in parts:
-            rows = [b.column(c).to_numpy(zero_copy_only=False) for c in ("slot", "value")] + [_fps(b)]
+            if not b.num_rows:
+                continue
+            columns = [b.column(c).to_numpy(zero_copy_only=False) for c in ("slot", "value", "fp", "node", *checks)]
             if held is not None:
-                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+                columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
             # The last key may go on in the next batch.
-            last = (rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1])
+            last = (columns[0] == columns[0][-1]) & (columns[1] == columns[1][-1])
             cut = len(last) - int(last.sum())
-            held = [x[cut:] for x in rows]
+            held = [x[cut:] for x in columns]
             if cut:
-                check([x[:cut] for x in rows])
+                check([x[:cut] for x in columns])
         if held is not None:
             check(held)
         a, b = found.reduce()
         for at in range(0, len(a), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(x[at: at + (1 << 16)].view(np.int64)) for x in (a, b)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(x[at: at + (1 << 16)]) for x in (a, b)], schema=schema)
 
     return keys.repartition(partitions(spark), "slot", "value").sortWithinPartitions("slot", "value").mapInArrow(
         run, "a long, b long")
@@ -318,9 +348,72 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANC
     """
     marked = stored(fingerprints(docs, words), "fingerprints")
     firsts = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    member = components(links(firsts, distance)).withColumnRenamed("node", "fp")
+    member = components(links(firsts.withColumn("node", F.col("fp")), distance)).withColumnRenamed("node", "fp")
     roots = firsts.join(member, "fp").select("fp", "root", "first")
     lowest = roots.groupBy("root").agg(F.min("first").alias("lowest"))
     linked = roots.join(lowest, "root").select("fp", "lowest")
     ids = firsts.join(linked, "fp", "left").select("fp", F.coalesce("lowest", "first").alias("component_id"))
     return marked.join(ids, "fp").select("doc_id", "fp", "component_id")
+
+
+#: For representatives(): the probed fingerprint is of single distinct words, of which
+#: near copies share almost all; the compared one has CHECK_BITS bits of shingles of
+#: CHECK_WORDS words. Two texts of Jaccard similarity s on such shingles differ in
+#: about acos(2s / (1 + s)) / pi of its bits: 19.5 of 128, +- 4, for s = 0.8. The limit
+#: lies two deviations above.
+PROBE_DISTANCE, CHECK_WORDS, CHECK_LIMIT = 10, 5, 27
+CHECKS = ("check0", "check1")
+# An odd number; it turns a shingle's hash into that of the second half of the bits.
+SECOND = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _probe_and_checks(text: str | None) -> tuple[int, int, int]:
+    tokens = words_of(text)
+    probe = majority(iter([np.array([xxhash.xxh64_intdigest(w, SEED) for w in sorted(set(tokens))], "<u8")])) if tokens else 0
+    first, second = [], []
+    for h in shingle_hashes(tokens, CHECK_WORDS):
+        first.append(h)
+        other = h * SECOND
+        second.append((other ^ other >> np.uint64(29)) * SECOND)
+    return tuple(int(np.uint64(x).astype(np.int64)) for x in (probe, majority(iter(first)), majority(iter(second))))
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """doc_id, key (a hash of the text), fp, check0, check1 of every row of `docs`."""
+    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "key", "fp", *CHECKS)])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            found = np.array([_probe_and_checks(t.as_py()) for t in b.column("text")], np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("key"), *[pa.array(np.ascontiguousarray(found[:, i])) for i in range(3)]], schema=schema)
+
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), "text").mapInArrow(
+        run, ", ".join(f"{c} long" for c in schema.names))
+
+
+def representatives(docs: DataFrame, distance: int = PROBE_DISTANCE, limit: int = CHECK_LIMIT) -> DataFrame:
+    """The rows of `docs` (doc_id, text, any other columns), without all but one row of
+    each group of near copies: the one with the smallest doc_id stays.
+
+    Near copies are texts whose shingles of five words are similar by 0.8 or more,
+    judged by the fingerprints above; groups are what such links connect. Texts equal
+    in words are one group. Null, empty and blank texts are one group too. A row with
+    a null doc_id stays only if its group has no other; of rows equal in doc_id and
+    text one stays. An empty table stays empty.
+    """
+    marked = stored(sketches(docs).withColumn("node", F.xxhash64("fp", *CHECKS)), "sketches")
+    distinct = stored(marked.groupBy("node").agg(*[F.min(c).alias(c) for c in ("fp", *CHECKS)]), "distinct")
+    member = components(links(distinct, distance, CHECKS, limit))
+    grouped = marked.join(member, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("group"))
+    rows = stored(grouped.groupBy("group", "doc_id", "key").agg(F.count(F.lit(1)).alias("n")), "rows")
+    stays = rows.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "key")).alias("_stay"))
+    same = F.col("doc_id").eqNullSafe(F.col("_stay.doc_id")) & F.col("key").eqNullSafe(F.col("_stay.key"))
+    judged = rows.join(stays, "group").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "n", same.alias("_stays"))
+    # Few rows go, so few are looked up; rows that stay once are not shuffled if Spark
+    # can broadcast the others.
+    gone = stored(judged.where("not _stays or n > 1"), "gone")
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.xxhash64("text").eqNullSafe(F.col("_key"))
+    once = docs.join(gone, on, "left_anti")
+    again = docs.join(gone.where("_stays"), on, "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.unionByName(again)
