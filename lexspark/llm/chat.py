@@ -31,7 +31,7 @@ def unescape(text: Column) -> Column:
 
 def tokens(role: Column, text: Column) -> Column:
     """Length of a turn: words and single marks, as a tokenizer's first step cuts them."""
-    piece = F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]")
+    piece = F.lit(r"[\p{L}\p{N}]+|[^\x20\x09-\x0D\p{L}\p{N}]")
     return (F.regexp_count(role, piece) + F.regexp_count(text, piece) + MARKS).cast("long")
 
 
