@@ -127,14 +127,14 @@ def word_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One case per conversation: each user turn is a concept, the words of the
-    last assistant turn are the other side's."""
+    """One case per conversation: each user turn is a concept, the words of all
+    assistant turns are the other side's."""
     words = F.array_distinct(keywords(F.col("text"), None))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", words.alias("w"))
     said = F.sort_array(F.collect_list(F.when(F.col("role") == "user", F.struct("turn", "w"))))
-    answer = F.max(F.when(F.col("role") == "assistant", F.struct("turn", "w")))
-    return turns.groupBy("conv_id").agg(said.alias("said"), answer.alias("answer")).select(
+    answers = F.collect_list(F.when(F.col("role") == "assistant", F.col("w")))
+    return turns.groupBy("conv_id").agg(said.alias("said"), answers.alias("answers")).select(
         F.col("conv_id").cast("string").alias("case_id"),
         F.transform("said", lambda s: s.w).alias("concepts"),
-        F.coalesce("answer.w", F.array().cast("array<string>")).alias("opposing"),
+        F.array_distinct(F.flatten("answers")).alias("opposing"),
     )

@@ -230,6 +230,7 @@ from (select count(*) as n from pages) p, (select count(*) as n from benchmark)
   (select count(*) as n from labels where doc_id in (select doc_id from documents)) l"""
 ORACLES["ingest_incremental"] = with_(TESIS, INCOMING) + _LOADED + "incoming"
 ORACLES["ingest_stream"] = ORACLES["ingest_incremental"]
+ORACLES["ingest_streams"] = ORACLES["ingest_incremental"]
 ORACLES["corpus_layout"] = simple(
     f"select {fold('epoca')} as epoca_part, epoca, count(*) as total, min(anio) as anio_min, max(anio) as anio_max "
     "from tesis group by 1, 2")
@@ -271,6 +272,8 @@ from (select qid, len(tk) as plen, unnest(tk) as tok, unnest(range(len(tk))) as
 ORACLES["match_term"] = hits([["mente"]], "select id_tesis, col, cast(count(*) as int) as veces from inst group by 1, 2")
 ORACLES["match_phrase"] = hits([["the that"]], "select id_tesis, col, cast(start as int) as inicio from inst")
 ORACLES["match_or"] = hits([SYNONYMS], "select id_tesis from matched")
+ORACLES["match_and_many"] = hits(
+    [["the", "de"] if n % 2 else ["the", "de", "und"] for n in range(70)], "select id_tesis from matched")
 ORACLES["match_and"] = hits([A, B], "select id_tesis from matched")
 ORACLES["match_near"] = hits(
     [["the that"], ["and"]], "select id_tesis, col, concept, cast(start as int) as inicio from inst2", near=3)
@@ -289,7 +292,7 @@ ORACLES["scan_and"] = simple(
     f"select id_tesis from tesis where {_like(['mente', 'nicht'])} and {_like(['die', 'la'])}")
 ORACLES["scan_contradiction"] = simple(
     "select id_tesis from tesis where " + " or ".join(
-        f"regexp_matches({fold(c)}, 'contradicci[^\\n]*de (tesis|criterios)')" for c in _COLS[:3]))
+        f"{fold(c)} like '%contradicci%de tesis%' or {fold(c)} like '%contradicci%de criterios%'" for c in _COLS[:3]))
 
 # -- filters ----------------------------------------------------------------
 
@@ -337,6 +340,10 @@ ORACLES["read_one"] = _read("id_tesis = '77'", 1)
 ORACLES["read_by_code"] = _read("contains(tesis_codigo, '7/2')", 5)
 ORACLES["read_by_title"] = _read(f"contains({fold('rubro')}, 'cai')", 5)
 _KEYS = ", ".join(f"'{n}'" for n in list(range(3, 200, 13))[:15])
+_LABELLED = "(select cast(doc_id as varchar) from labels)"
+ORACLES["read_keys"] = simple(f"select id_tesis, rubro, md5(texto) as texto_md5 from tesis where id_tesis in {_LABELLED}")
+_CODES = ", ".join(f"'T. {n}/{1995 + n % 31}'" for n in range(5, 200, 14))
+ORACLES["read_many_by_code"] = simple(f"select id_tesis, {_FULL} from tesis where tesis_codigo in ({_CODES})")
 ORACLES["read_many"] = simple(f"select id_tesis, {_FULL} from tesis where id_tesis in ({_KEYS})")
 
 # -- scalar functions -------------------------------------------------------
@@ -364,6 +371,7 @@ ORACLES["cite"] = simple(
     f"select id_tesis, {_CITE} as cita, md5('Cita oficial:' || chr(10) || '  ' || {_CITE} || chr(10) || chr(10) "
     "|| 'Rubro:' || chr(10) || '  ' || rubro || chr(10) || chr(10) || 'Órgano emisor: ' || instancia || ' — ' "
     "|| organo_juris) as ficha from tesis")
+ORACLES["cite_by_code"] = simple(f"select id_tesis, {_CITE} as cita, rubro from tesis where tesis_codigo = 'T. 77/2010'")
 ORACLES["extract"] = simple(
     f"select id_tesis, substr(texto, 1, 500) as extracto, md5({_cut('texto', 8000)}) as texto_md5, "
     f"cast(length({_cut('texto', 8000)}) as int) as largo from tesis")
@@ -411,6 +419,10 @@ ORACLES["facet_all"] = simple(
 ORACLES["corpus_summary"] = simple(
     "select count(*) as total, min(anio) as anio_min, max(anio) as anio_max, "
     "strftime(max(fecha_descarga), '%Y-%m-%d %H:%M:%S') as ultima_descarga from tesis")
+ORACLES["describe_last_load"] = with_(TESIS, INCOMING) + (
+    "select 0::bigint + (select count(*) from incoming where id_tesis not like 'p%') as nuevas, (select count(*) from benchmark) as errores, "
+    "(select count(*) from incoming) as total, 'Completado con ' || (select count(*) from benchmark) || ' error(es) - ' "
+    "|| (select count(*) from incoming where id_tesis not like 'p%') || ' nuevas' as estado")
 ORACLES["corpus_breakdown"] = simple(
     "select dimension, valor, total, cast(row_number() over (partition by dimension order by total desc, valor) as int) "
     "as lugar from (" + " union all ".join(
@@ -471,6 +483,20 @@ ORACLES["search_concept"] = search(
 ORACLES["search_concept_scan"] = simple(
     f"select * from (select cast(row_number() over (order by {FORCE}, anio desc, id_tesis) as int) as rank, id_tesis, {LEVEL} as nivel, "
     f"rubro, substr(texto, 1, 500) as extracto from tesis where {_like(['mente', 'nicht'])} and {IS_BINDING}) where rank <= 50")
+_MENTION = " or ".join(f"{fold(c)} like '%contradicci%de {w}%'" for c in _COLS[:3] for w in ("tesis", "criterios"))
+
+
+def _scan(where: str, limit: int) -> str:
+    return simple(
+        f"select * from (select cast(row_number() over (order by {FORCE}, anio desc, id_tesis) as int) as rank, id_tesis, "
+        f"{LEVEL} as nivel, rubro from tesis where {where}) where rank <= {limit}")
+
+
+ORACLES["search_title_scan"] = _scan(
+    f"contains({fold('rubro')}, 'mente') or contains({fold('rubro')}, 'the that')", 50)
+ORACLES["search_intersection_scan"] = _scan(f"{_like(A)} and {_like(B)} and anio >= 2001", 50)
+ORACLES["search_contradiction_scan"] = _scan(f"{_like(['la', 'the'])} and {IS_BINDING} and ({_MENTION})", 60)
+ORACLES["search_circuit_scan"] = _scan(f"{_like(['mente', 'the', 'la'])} and {CIRCUIT17}", 100)
 ORACLES["search_intersection"] = search(
     [A, B], TITLED, where="epoca in ('Décima Época', 'Undécima Época')", limit=50)
 ORACLES["search_intersection3"] = search([A, B, C], TITLED, order="relevancia", limit=50)
@@ -496,16 +522,22 @@ ORACLES["timeline"] = search(
   tesis_codigo, substr(rubro, 1, 140) as rubro, id_tesis, nivel
 from (select *, case when lag(epoca) over (order by rank) = epoca then 0 else 1 end as opens from ranked)""")
 
+ORACLES["timeline_scan"] = simple(
+    "select rank, cast(sum(opens) over (order by rank) as int) as etapa, opens = 1 as abre_etapa, epoca, anio, tesis_codigo, "
+    "substr(rubro, 1, 140) as rubro, id_tesis, nivel from (select *, case when lag(epoca) over (order by rank) = epoca "
+    f"then 0 else 1 end as opens from (select *, cast(row_number() over (order by anio asc nulls first, {FORCE}, id_tesis) as int) "
+    f"as rank, {LEVEL} as nivel from tesis where {_like(['mente', 'the'])} and {IS_BINDING} and anio >= 2010) where rank <= 80)")
+
 _TURNS = f"""turns as materialized (select conv_id, turn, role, list_distinct({words('text')}) as w from conversations),
 said as materialized (select *, row_number() over (partition by conv_id order by turn) - 1 as n,
   count(*) over (partition by conv_id) as users from turns where role = 'user'),
-answer as (select conv_id, w from (select *, row_number() over (partition by conv_id order by turn desc) as r
-  from turns where role = 'assistant') where r = 1 and len(w) > 0),
+answer as (select conv_id, w from (select conv_id, list_distinct(flatten(list(w))) as w
+  from turns where role = 'assistant' group by 1) where len(w) > 0),
 everyone as (select conv_id from turns group by 1),
 flat as (select conv_id, list_distinct(flatten(list(w))) as w from said group by 1),
 q as (
   select conv_id || '|1 concepto|' || n as qid, 0 as concept, 1 as nc, w from said
-  union all select conv_id || '|2 cruce|0', n, least(users, 3), w from said where users >= 2 and n < 3
+  union all select conv_id || '|2 cruce|0', n, users, w from said where users >= 2
   union all select e.conv_id || '|4 contradiccion|0', 0, 2, coalesce(w, []) from everyone e left join flat using (conv_id)
   union all select conv_id || '|4 contradiccion|0', 1, 2, ['contradiccion de tesis', 'contradiccion de criterios'] from everyone
   union all select conv_id || '|5 contraparte|0', 0, 1, w from answer),
@@ -520,6 +552,10 @@ from (select split_part(qid, '|', 1) as case_id, split_part(qid, '|', 2) as rond
   from scored join tesis using (id_tesis)
   where not contains(qid, '4 contradiccion') or {IS_BINDING}) where rank <= 15
 group by case_id, id_tesis, nivel"""
+ORACLES["dossier_read"] = (
+    "select case_id, lugar, id_tesis, nivel, rondas, rubro, md5(substr(texto, 1, 8000)) as texto_md5, "
+    "md5(substr(precedentes, 1, 2000)) as precedentes_md5 from (" + ORACLES["dossier"].replace("\nselect case_id", "\nselect case_id", 1)
+    + ") join (" + simple("select id_tesis, rubro, texto, precedentes from tesis") + ") using (id_tesis) where leer")
 _RELATED = {
     "Administrativa": ("Constitucional", "Común"), "Civil": ("Constitucional", "Común", "Mercantil"),
     "Laboral": ("Administrativa", "Constitucional"), "Penal": ("Constitucional", "Común"),
@@ -531,8 +567,9 @@ ORACLES["expand_subjects"] = simple(
     f"join tesis on contains({fold('materias')}, {fold('x')}) group by 1, 2")
 _EVERY = f"""qp as materialized (select id_tesis as qid, 0 as concept, ph, txt, 'todo' as scope, cast(null as int) as near, 1 as nc
   from (select id_tesis, unnest(s) as txt, unnest(range(len(s))) as ph
-        from (select id_tesis, ({words('rubro')})[1:8] as s from tesis)))"""
-ORACLES["similar_all"] = with_(TESIS, POST, _EVERY, HITS, SCORED) + (
+        from (select id_tesis, ({words('rubro')})[1:8] as s from tesis
+              where id_tesis in (select cast(doc_id as varchar) from labels))))"""
+ORACLES["similar_batch"] = with_(TESIS, POST, _EVERY, HITS, SCORED) + (
     f"select * from (select qid as query_id, cast(row_number() over (partition by qid order by {BY['similitud']}) as int) as rank, "
     f"id_tesis, {BM25} as bm25 from scored join tesis using (id_tesis) where qid <> id_tesis) where rank <= 15")
 

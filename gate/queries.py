@@ -22,7 +22,7 @@ from lexspark.operators.match import Lookups
 from lexspark.plans import dossier as dossiers
 from lexspark.plans import health as checks
 from lexspark.plans import profile, reading, search
-from lexspark.plans.similar import similar_all
+from lexspark.plans.similar import similar_batch as similar_to
 from lexspark.session import durable
 from lexspark.sources import landing
 from lexspark.sources.derived import derived_corpus
@@ -147,6 +147,18 @@ def ingest_stream(spark, sf):
     return _loaded(store)
 
 
+@query
+def ingest_streams(spark, sf):
+    """A batch, then two streams with checkpoint folders of their own: all ids stay."""
+    store = _store(spark, sf, "streams")
+    store.load(inputs.malformed(spark, sf).unionByName(inputs.added(spark, sf)), 1)
+    for n, replies in enumerate((inputs.revised(spark, sf), inputs.added(spark, sf))):
+        landed = inputs.folder(spark, sf, f"landed{n}")
+        replies.write.mode("overwrite").json(landed)
+        store.follow(landed, inputs.folder(spark, sf, f"offsets{n}")).awaitTermination()
+    return _loaded(store)
+
+
 @query
 def corpus_layout(spark, sf):
     stored = library(spark, sf).corpus
@@ -227,6 +239,13 @@ def match_and(spark, sf):
     return _ids(_hits(library(spark, sf), [CONCEPT_A, CONCEPT_B]))
 
 
+@query
+def match_and_many(spark, sf):
+    """Seventy concepts, each of which most documents hold by one of two words."""
+    concepts = [["the", "de"] if n % 2 else ["the", "de", "und"] for n in range(70)]
+    return _ids(_hits(library(spark, sf), concepts))
+
+
 @query
 def match_near(spark, sf):
     return _hits(library(spark, sf), [["the that"], ["and"]], near=3).select(
@@ -300,6 +319,23 @@ def read_by_title(spark, sf):
     return reading.read(library(spark, sf), "ÇAI", "rubro")
 
 
+@query
+def read_many_by_code(spark, sf):
+    keys = [f"T. {n}/{1995 + n % 31}" for n in range(5, 200, 14)]
+    return reading.read_many(library(spark, sf), keys, "tesis_codigo")
+
+
+@query
+def read_keys(spark, sf):
+    labelled = inputs.table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("id_tesis"))
+    return reading.read_keys(library(spark, sf), labelled).select("id_tesis", "rubro", F.md5("texto").alias("texto_md5"))
+
+
+@query
+def cite_by_code(spark, sf):
+    return reading.cite(library(spark, sf), "T. 77/2010", "tesis_codigo").select("id_tesis", "cita", "rubro")
+
+
 @query
 def read_many(spark, sf):
     keys = [str(n) for n in range(3, 200, 13)]
@@ -422,6 +458,16 @@ def corpus_summary(spark, sf):
         "ultima_descarga", F.date_format("ultima_descarga", "yyyy-MM-dd HH:mm:ss"))
 
 
+@query
+def describe_last_load(spark, sf):
+    """The run log's last row, as the description of the corpus shows it."""
+    store = _store(spark, sf, "described")
+    store.load(inputs.added(spark, sf), 1)
+    store.load(inputs.replies(spark, sf), 2)
+    last = profile.describe_corpus(library(spark, sf), store.run_log())["ultima_actualizacion"]
+    return last.select("nuevas", "errores", "total", "estado")
+
+
 @query
 def corpus_breakdown(spark, sf):
     return profile.corpus_breakdown(library(spark, sf).corpus)
@@ -480,6 +526,36 @@ def search_concept_scan(spark, sf):
     return found.select("rank", "id_tesis", "nivel", "rubro", "extracto")
 
 
+def _scanned(found: DataFrame) -> DataFrame:
+    return found.select("rank", "id_tesis", "nivel", "rubro")
+
+
+@query
+def search_title_scan(spark, sf):
+    return _scanned(search.search_title(library(spark, sf), ["mente", "the that"], mode="scan", limite=50))
+
+
+@query
+def search_intersection_scan(spark, sf):
+    return _scanned(search.search_intersection(
+        library(spark, sf), CONCEPT_A, CONCEPT_B, anio_minimo=2001, mode="scan", limite=50))
+
+
+@query
+def search_contradiction_scan(spark, sf):
+    return _scanned(search.search_contradiction(library(spark, sf), ["la", "the"], mode="scan", limite=60))
+
+
+@query
+def search_circuit_scan(spark, sf):
+    return _scanned(search.search_circuit(library(spark, sf), 17, ["mente", "the", "la"], mode="scan", limite=100))
+
+
+@query
+def timeline_scan(spark, sf):
+    return search.timeline(library(spark, sf), ["mente", "the"], limite=80, mode="scan").drop("query_id")
+
+
 @query
 def search_intersection(spark, sf):
     lib = library(spark, sf)
@@ -540,16 +616,23 @@ def dossier(spark, sf):
 
 
 @query
-def expand_subjects(spark, sf):
-    return dossiers.expand_subjects(library(spark, sf).corpus, list(dossiers.RELATED))
+def dossier_read(spark, sf):
+    lib = library(spark, sf)
+    found = durable(dossiers.dossier(lib, durable(inputs.cases(spark, sf))))
+    return dossiers.read_marked(lib, found).select(
+        "case_id", "lugar", "id_tesis", "nivel", "rondas", "rubro", F.md5("texto").alias("texto_md5"),
+        F.md5("precedentes").alias("precedentes_md5"))
 
 
 @query
-def similar_for_all(spark, sf):
-    return similar_all(library(spark, sf))
+def expand_subjects(spark, sf):
+    return dossiers.expand_subjects(library(spark, sf).corpus, list(dossiers.RELATED))
 
 
-REGISTERED["similar_all"] = REGISTERED.pop("similar_for_all")
+@query
+def similar_batch(spark, sf):
+    labelled = inputs.table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("id_tesis"))
+    return similar_to(library(spark, sf), labelled)
 
 
 # -- health -----------------------------------------------------------------

@@ -286,19 +286,23 @@ def matching_hits(found: DataFrame, lookups: Lookups) -> DataFrame:
     return near if lookups.all_near else near.unionByName(found.filter(F.col("distancia").isNull()))
 
 
-def all_concepts() -> Column:
-    """Aggregate condition: every concept of the query occurs in the document."""
-    bit = F.expr("shiftleft(1L, concept)")
-    return F.bit_count(F.bit_or(bit)) == F.first("n_concepts")
+def with_all_concepts(rows: DataFrame, *sums: Column) -> DataFrame:
+    """Documents per query in which every concept of the query occurs, with sums over
+    the rows. Rows are first brought to one per concept, so any number of concepts
+    counts; a column summed must be an integer, of any order of addition."""
+    names = [f"s{n}" for n in range(len(sums))]
+    each = rows.groupBy("query_id", "id_tesis", "concept").agg(
+        F.first("n_concepts").alias("n_concepts"), *[F.sum(c).alias(n) for c, n in zip(sums, names)])
+    return (
+        each.groupBy("query_id", "id_tesis")
+        .agg(F.count("*").alias("held"), F.first("n_concepts").alias("n_concepts"), *[F.sum(n).alias(n) for n in names])
+        .filter("held = n_concepts").select("query_id", "id_tesis", *names)
+    )
 
 
 def matches(found: DataFrame) -> DataFrame:
     """Documents per query that satisfy all its concepts."""
-    return (
-        found.groupBy("query_id", "id_tesis")
-        .agg(all_concepts().alias("complete"))
-        .filter("complete").drop("complete")
-    )
+    return with_all_concepts(found)
 
 
 # -- without an index -------------------------------------------------------
@@ -308,8 +312,9 @@ CONTRADICTION = ("contradiccion de tesis", "contradiccion de criterios")
 
 def mentions_contradiction() -> Column:
     """A contradiction is named in the title, the body or the precedents."""
-    text = fold(F.concat_ws("\n", "rubro", "texto", "precedentes"))
-    return text.rlike(r"contradicci[^\n]*de (tesis|criterios)")
+    pattern = F.lit(r"(?s)contradicci.*de (tesis|criterios)")
+    columns = [F.coalesce(F.regexp_like(fold(F.col(c)), pattern), F.lit(False)) for c in ("rubro", "texto", "precedentes")]
+    return reduce(lambda a, b: a | b, columns)
 
 
 def scan_condition(concepts: list[list[str]], scope: str = "todo") -> Column:

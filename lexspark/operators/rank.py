@@ -61,5 +61,13 @@ def top_k(rows: DataFrame, order: Column, limit: Column, cap: int = MAX_RESULTS)
     )
 
 
-def clamp(limit: int, cap: int = MAX_RESULTS) -> int:
-    return max(1, min(int(limit), cap))
+def checked_limit(limit: int, cap: int = MAX_RESULTS) -> int:
+    """At least 1; more than the documented maximum is an error, never a silent cut."""
+    if int(limit) > cap:
+        raise ValueError(f"limite={limit}: at most {cap}")
+    return max(1, int(limit))
+
+
+def clamp(value: int, cap: int = MAX_RESULTS) -> int:
+    """A distance, brought into its range."""
+    return max(1, min(int(value), cap))

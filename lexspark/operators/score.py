@@ -57,23 +57,21 @@ def scored(lib: Library, lookups: Lookups) -> DataFrame:
         weighed = _frequencies(match.matching_hits(found, lookups))
     else:
         # Words and phrases are brought to one small row per phrase and document
-        # each in its own way; if phrases are among them these rows are written,
-        # so that the postings are matched only once for counts and weights.
+        # each in its own way. Only phrases must be counted before they are weighed,
+        # so only their rows are written; words bring their counts along.
         parts = []
         if lookups.has_words or not lookups.has_phrases:
             parts.append(_frequencies(match.word_hits(lib.postings, lookups)))
         if lookups.has_phrases:
-            parts.append(_frequencies(match.phrase_hits(lib.postings, lookups, shortest=2)))
+            phrases = durable(_frequencies(match.phrase_hits(lib.postings, lookups, shortest=2)))
+            counted = lookups.join_phrases(phrases, document_frequency(phrases))
+            parts.append(counted.withColumn("n", F.coalesce("n", "counted")).drop("counted"))
         weighed = reduce(DataFrame.unionByName, parts)
-        found = weighed = durable(weighed) if lookups.has_phrases else weighed
-    if lookups.has_phrases:
+    if lookups.has_near and lookups.has_phrases:
         weighed = lookups.join_phrases(weighed, document_frequency(found)).withColumn(
             "n", F.coalesce("n", "counted")
         )
     return (
-        weighed.withColumn("part", contribution(lib, F.col("f"), F.col("n"), F.col("dl")))
-        .groupBy("query_id", "id_tesis")
-        .agg(match.all_concepts().alias("complete"), F.sum("part").alias("units"))
-        .filter("complete")
-        .select("query_id", "id_tesis", "units")
+        match.with_all_concepts(weighed, contribution(lib, F.col("f"), F.col("n"), F.col("dl")))
+        .withColumnRenamed("s0", "units")
     )

@@ -61,9 +61,20 @@ def completed(queries: DataFrame) -> DataFrame:
         if f.name in queries.columns:
             value = F.coalesce(F.col(f.name).cast(f.dataType), value)
         columns.append(value.alias(f.name))
-    return queries.select(*columns).withColumn(
-        "limite", F.least(F.greatest("limite", F.lit(1)), F.lit(rank.MAX_RESULTS))
-    )
+    return checked(queries.select(*columns))
+
+
+def checked(queries: DataFrame) -> DataFrame:
+    """Limits from 1, distances within 1 to 100 between exactly two concepts. A limit
+    above the maximum or another number of concepts fails the job."""
+    limit, two = F.col("limite"), F.size("concepts") == 2
+    too_many = F.concat(F.lit("limite above the maximum: "), limit.cast("string"))
+    near = F.least(F.greatest("distancia", F.lit(1)), F.lit(rank.MAX_RESULTS))
+    return queries.withColumns({
+        "limite": F.when(limit > rank.MAX_RESULTS, F.raise_error(too_many).cast("int")).otherwise(F.greatest(limit, F.lit(1))),
+        "distancia": F.when(F.col("distancia").isNull(), F.lit(None).cast("int")).when(two, near)
+        .otherwise(F.raise_error(F.lit("distancia: give exactly two concepts")).cast("int")),
+    })
 
 
 def usable(terms: Sequence[str], name: str) -> list[str]:
@@ -176,7 +187,9 @@ def _run(lib: Library, concepts: list[list[str]], f: Filters, *, order: str = ra
          scan_concepts: list[list[str]] | None = None, texts: bool = True) -> DataFrame:
     if mode not in ("index", "scan"):
         raise ValueError("mode: index or scan")
-    limit = rank.clamp(limit, cap)
+    limit = rank.checked_limit(limit, cap)
+    if mode == "scan" and near is not None:
+        raise ValueError("mode: a scan knows no distances")
     if mode == "scan":
         ranking = ranked_scan(lib, scan_concepts or concepts, scope, f, order, limit, scan_extra)
         return presented(lib, ranking, None) if texts else ranking
@@ -314,7 +327,7 @@ def search_similar(lib: Library, id_tesis: str, limite: int = 15,
     lookups = Lookups.of(table, lib.term_stats)
     ranking = ranked_one(
         lib, lookups, Filters(solo_jurisprudencia, excluir=str(id_tesis)),
-        rank.BY_SIMILARITY, rank.clamp(limite, 50),
+        rank.BY_SIMILARITY, rank.checked_limit(limite, 50),
     )
     return presented(lib, ranking, lookups) if texts else ranking
 

@@ -1,15 +1,10 @@
-"""The similar criteria of every criterion at once, exactly.
+"""The similar criteria of every criterion of a table.
 
-Joining every title word with every document that holds it would emit, for one
-frequent word, a row per pair of documents. Three things avoid that, none of
-which drops a result:
-
-- criteria with the same key words share one search;
-- a word's contribution to a document does not depend on the query, so it is
-  computed once per posting;
-- a document whose words could not together reach the k-th best score known for
-  a query is no candidate. So only the *essential* words of a query, usually the
-  rare ones, open candidates; the frequent ones are looked up for candidates.
+One search per distinct title among the references: its key words against the whole
+corpus. What is scored is every document that shares a word with a title, so the
+work grows with references times corpus. Asking it of a whole corpus means all pairs
+of documents with a common word; there is no exact way around that, and no form
+here pretends to one.
 """
 
 from __future__ import annotations
@@ -18,123 +13,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexspark.functions.text import keywords, tokens
-from lexspark.operators import match, rank, score
+from lexspark.functions.text import keywords
+from lexspark.operators import rank
 from lexspark.operators.match import Lookups, salted_join
-from lexspark.plans.search import completed
+from lexspark.plans import search
 from lexspark.session import durable
 from lexspark.sources.tables import Library
 
 SEPARATOR = "\u0001"
 
 
-def _members(corpus: DataFrame) -> DataFrame:
-    """(id_tesis, words): sorted key words of the title, repeats kept, as one text."""
-    terms = F.transform(keywords(F.col("rubro")), lambda w: F.array_join(tokens(w), " "))
-    kept = F.sort_array(F.filter(terms, lambda t: t != ""))
-    return corpus.select("id_tesis", F.array_join(kept, SEPARATOR).alias("words")).filter("words <> ''")
-
-
-def _occurrences(lib: Library, vocabulary: DataFrame) -> DataFrame:
-    """(term, id_tesis, dl, f, n) of every key word; one with "_" is a phrase."""
-    single = vocabulary.filter(~F.contains("term", F.lit(" ")))
-    stats = lib.term_stats.join(single.withColumnRenamed("term", "tok"), "tok").select(
-        "tok", F.col("df").alias("n")
-    )
-    counts = lib.postings.groupBy("tok", "id_tesis", "dl").agg(
-        F.sum(F.size("pos")).cast("double").alias("f")
-    )
-    words = salted_join(counts, stats, ["tok"], "id_tesis").withColumnRenamed("tok", "term")
-
-    several = vocabulary.filter(F.contains("term", F.lit(" ")))
-    queries = completed(
-        several.select(F.col("term").alias("query_id"), F.array(F.array("term")).alias("concepts"))
-    )
-    found = match.phrase_hits(lib.postings, Lookups.of(queries, lib.term_stats)).groupBy(
-        F.col("query_id").alias("term"), "id_tesis", "dl"
-    ).agg(F.sum(F.size("starts")).cast("double").alias("f"))
-    n = found.groupBy("term").agg(F.count("*").alias("n"))
-    phrases = salted_join(found, n, ["term"], "id_tesis")
-    columns = ["term", "id_tesis", "dl", "f", "n"]
-    return words.select(*columns).unionByName(phrases.select(*columns))
-
-
-def _bounds(impacts: DataFrame, k: int) -> DataFrame:
-    """Per term the largest contribution and the k-th largest (0 if it has fewer)."""
-    place = F.row_number().over(W.partitionBy("term").orderBy(F.col("units").desc()))
-    best = impacts.select("term", "units").withColumn("place", place).filter(F.col("place") <= k)
-    return best.groupBy("term").agg(
-        F.max("units").alias("most"),
-        F.max(F.when(F.col("place") == k, F.col("units")).otherwise(0)).alias("kth"),
-    )
-
-
-def similar_all(lib: Library, limite: int = 15) -> DataFrame:
-    """(query_id, rank, id_tesis, bm25): for each criterion, the most similar others."""
-    limit = rank.clamp(limite, 50)
-    k = limit + 1  # the criterion itself may be among them
-    members = durable(_members(lib.corpus))
-    profile = (
-        members.select("words").distinct()
-        .select("words", F.explode(F.split("words", SEPARATOR)).alias("term"))
-        .groupBy("words", "term").agg(F.count("*").alias("times"))
-    )
-    occurrences = _occurrences(lib, profile.select("term").distinct())
-    impacts = durable(
-        occurrences.select(
-            "term", "id_tesis",
-            score.contribution(lib, F.col("f"), F.col("n"), F.col("dl")).alias("units"),
-        )
-    )
-
-    weighed = salted_join(profile, _bounds(impacts, k), ["term"], "words").withColumns(
-        {"most": F.col("most") * F.col("times"), "kth": F.col("kth") * F.col("times")}
-    )
-    # At least k documents reach the floor. Words whose largest contributions
-    # sum up below it cannot bring a document that far without another word.
-    whole = W.partitionBy("words")
-    rising = whole.orderBy("most", "term").rowsBetween(W.unboundedPreceding, 0)
-    plan = weighed.withColumn("floor", F.max("kth").over(whole)).withColumn(
-        "essential", F.sum("most").over(rising) >= F.col("floor")
-    )
-    rest = F.collect_list(F.when(~F.col("essential"), F.struct("term", "times")))
-    most = F.sum(F.when(~F.col("essential"), F.col("most")).otherwise(0))
-    opening = (
-        plan.withColumn("rest", rest.over(whole)).withColumn("rest_most", most.over(whole))
-        .filter("essential").select("words", "term", "times", "floor", "rest", "rest_most")
-    )
-    candidates = (
-        salted_join(impacts, opening, ["term"], "id_tesis")
-        .groupBy("words", "id_tesis")
-        .agg(
-            F.sum(F.col("units") * F.col("times")).alias("part"),
-            F.first("rest").alias("rest"),
-            F.first("floor").alias("floor"), F.first("rest_most").alias("rest_most"),
-        )
-        .filter(F.col("part") + F.col("rest_most") >= F.col("floor"))
-        .select("words", "id_tesis", "part", F.explode_outer("rest").alias("r"))
-        .select("words", "id_tesis", "part", "r.term", "r.times")
-    )
-    totals = (
-        candidates.join(impacts, ["term", "id_tesis"], "left")
-        .groupBy("words", "id_tesis", "part")
-        .agg(F.sum(F.coalesce(F.col("units") * F.col("times"), F.lit(0))).alias("others"))
-        .select("words", "id_tesis", (F.col("part") + F.col("others")).alias("units"))
-    )
-    meta = lib.corpus.select("id_tesis", "tipo_tesis", "instancia", "organo_juris", "anio")
-    best = (
-        rank.top_k(
-            totals.join(meta, "id_tesis").withColumnRenamed("words", "query_id"),
-            F.lit(rank.BY_SIMILARITY), F.lit(k), k,
-        )
-        .select(F.col("query_id").alias("words"), F.col("id_tesis").alias("similar"),
-                "rank", score.as_bm25(F.col("units")).alias("bm25"))
-    )
+def similar_batch(lib: Library, references: DataFrame, limite: int = 15) -> DataFrame:
+    """(query_id, rank, id_tesis, bm25): for each criterion of `references` (id_tesis) the
+    most similar others, as `search_similar` finds them. An id that the corpus does
+    not hold, or whose title has no key words, has no rows."""
+    limit = rank.checked_limit(limite, 50)
+    asked = references.select("id_tesis").distinct()
+    words = F.sort_array(keywords(F.col("rubro")))
+    members = durable(
+        lib.corpus.join(asked, "id_tesis", "left_semi").filter(F.size(words) > 0)
+        .select("id_tesis", F.array_join(words, SEPARATOR).alias("words"))
+    )
+    # The criterion itself may be among the best: one more is asked for.
+    queries = search.completed(members.select("words").distinct().select(
+        F.col("words").alias("query_id"), F.array(F.split("words", SEPARATOR)).alias("concepts"),
+        F.lit(rank.BY_SIMILARITY).alias("orden"), F.lit(limit + 1).alias("limite")))
+    queries = durable(queries)
+    found = search.ranked_batch(lib, queries, Lookups.of(queries, lib.term_stats)).select(
+        F.col("query_id").alias("words"), F.col("rank").alias("place"), F.col("id_tesis").alias("similar"), "bm25")
+    # A title that a third of the references share is spread over the members.
     position = F.row_number().over(W.partitionBy("id_tesis").orderBy("place"))
     return (
-        salted_join(members, best.withColumnRenamed("rank", "place"), ["words"], "id_tesis")
+        salted_join(members, found, ["words"], "id_tesis")
         .filter(F.col("similar") != F.col("id_tesis"))
-        .withColumn("rank", position)
-        .filter(F.col("rank") <= limit)
+        .withColumn("rank", position).filter(F.col("rank") <= limit)
         .select(F.col("id_tesis").alias("query_id"), "rank", F.col("similar").alias("id_tesis"), "bm25")
     )

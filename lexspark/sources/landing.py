@@ -66,7 +66,9 @@ def normalized(replies: DataFrame, ingested: Column | None = None) -> DataFrame:
         if column == "id_tesis":
             value = F.coalesce(value, F.col("requested_id"))
         elif column == "anio":
-            value = value.try_cast("int")
+            number = value.try_cast("double")
+            whole = F.when((number == F.floor(number)) & (F.abs(number) < 2**31), number.cast("int"))
+            value = F.coalesce(value.try_cast("int"), whole)
         elif column == "materias":
             value = F.coalesce(_subjects(value), F.lit(""))
         else:

@@ -18,9 +18,12 @@ from lexspark.operators import index
 from lexspark.session import one_of, small_rows
 
 PARTITION = "epoca_part"
+# Layout of a saved library; a reader refuses another version.
+VERSION = 2
+MANIFEST = "version int, buckets int"
 _TABLES = {
     # table: (sort columns, partitioned)
-    "corpus": (("id_tesis",), True),
+    "corpus": (("anio", "id_tesis"), True),
     "postings": (("tok", "id_tesis"), False),
     "doc_stats": (("id_tesis",), False),
 }
@@ -67,13 +70,19 @@ class Library:
             index.corpus_stats(spark.table(_name(root, "doc_stats")))
             .coalesce(1).write.mode("overwrite").parquet(f"{root}/corpus_stats")
         )
-        return Library.open(spark, root, buckets)
+        layout = spark.createDataFrame([(VERSION, buckets)], MANIFEST)
+        layout.coalesce(1).write.mode("overwrite").json(f"{root}/manifest")
+        return Library.open(spark, root)
 
     @staticmethod
-    def open(spark: SparkSession, root: str, buckets: int) -> "Library":
-        """Reopen a saved library, also from another application."""
+    def open(spark: SparkSession, root: str) -> "Library":
+        """Reopen a saved library, also from another application. Its manifest, written
+        last, says how it is laid out."""
+        layout = spark.read.schema(MANIFEST).json(f"{root}/manifest").first()
+        if layout is None or layout.version != VERSION:
+            raise ValueError(f"{root}: no library of version {VERSION}")
         for table in _TABLES:
-            _register(spark, root, table, buckets)
+            _register(spark, root, table, layout.buckets)
         return Library(
             spark.table(_name(root, "corpus")),
             spark.table(_name(root, "postings")),
@@ -96,11 +105,12 @@ def rows_of(table: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def write_corpus(corpus: DataFrame, root: str, buckets: int) -> None:
-    """Corpus partitioned by epoch, bucketed by id, sorted by id inside a file.
+    """Corpus partitioned by epoch, bucketed by id, sorted by year and id inside a file.
 
-    An epoch is a range of years, so the files of each partition carry narrow
-    min/max statistics on `anio`; ids are found by bucket and row group. The
-    partition value is a copy: an empty `epoca` would come back as NULL.
+    Row groups carry narrow min/max statistics on `anio`, so a range of years skips
+    most of an epoch; an id is found by its bucket, and by the bloom filters on id and
+    code in the footers. The partition value is a copy: an empty `epoca` would come
+    back as NULL.
     """
     part = F.coalesce(F.nullif(fold(F.col("epoca")), F.lit("")), F.lit("sin epoca"))
     laid_out = corpus.withColumn(PARTITION, part).repartition(buckets, "id_tesis")
@@ -116,14 +126,16 @@ def _write(df: DataFrame, root: str, table: str, buckets: int) -> None:
     writer = df.write.format("parquet").mode("overwrite").option("path", f"{root}/{table}")
     if partitioned:
         writer = writer.partitionBy(PARTITION)
+        for key in ("id_tesis", "tesis_codigo"):
+            writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true")
     writer.bucketBy(buckets, "id_tesis").sortBy(*sort).saveAsTable(_name(root, table))
 
 
 def _register(spark: SparkSession, root: str, table: str, buckets: int) -> None:
-    """Put a written table into the catalog, with its bucketing."""
+    """Put a written table into the catalog, with its bucketing, in place of an entry
+    that may be older than the files; the files stay."""
     name = _name(root, table)
-    if spark.catalog.tableExists(name):
-        return
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
     sort, partitioned = _TABLES[table]
     schema = spark.read.parquet(f"{root}/{table}").schema
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)

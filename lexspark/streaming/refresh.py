@@ -38,6 +38,7 @@ _LOG = T.StructType(
         T.StructField("fecha", T.TimestampType()),
     ]
 )
+_TAKEN = f"stream string, epoch long, {BATCH} long"
 
 
 @dataclass(frozen=True)
@@ -113,7 +114,16 @@ class Store:
     # -- writing ------------------------------------------------------------
 
     def load(self, replies: DataFrame, batch: int) -> None:
-        """One batch of replies: reject, normalise, keep what is new, index, log."""
+        """One batch of replies: reject, normalise, keep what is new, index, log.
+
+        A number may be loaded again, which replaces that batch, but not one that a
+        stream has taken.
+        """
+        if not self._taken().filter(F.col(BATCH) == batch).isEmpty():
+            raise ValueError(f"batch {batch} belongs to a stream")
+        self._load(replies, batch)
+
+    def _load(self, replies: DataFrame, batch: int) -> None:
         before = self._ids_before(batch)
         incoming = landing.latest(
             landing.normalized(replies),
@@ -138,11 +148,42 @@ class Store:
     def _add(self, df: DataFrame, table: str, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.root}/{table}/{BATCH}={batch}")
 
+    def _taken(self) -> DataFrame:
+        """Batch numbers that streams have taken: stream, epoch, batch."""
+        try:
+            return self.spark.read.schema(_TAKEN).json(f"{self.root}/streams")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], _TAKEN)
+
+    def _number(self, stream: str, epoch: int) -> int:
+        """The store's number of a stream's micro-batch: the next free one, noted before
+        anything is written, so that a repeated micro-batch finds its own again."""
+        taken = self._taken()
+        own = taken.filter((F.col("stream") == stream) & (F.col("epoch") == epoch)).first()
+        if own is not None:
+            return own.batch
+        known = taken.select(BATCH).unionByName(self._versions("run_log", _LOG).select(BATCH))
+        number = (known.agg(F.max(BATCH)).first()[0] or 0) + 1
+        self.spark.createDataFrame([(stream, epoch, number)], _TAKEN).coalesce(1).write.mode("append").json(f"{self.root}/streams")
+        return number
+
     def follow(self, landed: str, checkpoint: str):
-        """Load every file in `landed` not seen before, then stop."""
+        """Load every file in `landed` not seen before, then stop.
+
+        A stream is known by the id in its checkpoint folder. Several streams, one after
+        the other, and loads may fill the same store; none replaces another's batches.
+        One writer at a time.
+        """
         replies = self.spark.readStream.schema(LANDED).json(landed)
+
+        def each(df: DataFrame, epoch: int) -> None:
+            stream = self.spark.read.json(f"{checkpoint}/metadata").first().id
+            self._load(df, self._number(stream, epoch))
+
         return (
-            replies.writeStream.foreachBatch(lambda df, batch: self.load(df, batch + 1))
+            replies.writeStream.foreachBatch(each)
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True)
             .start()

@@ -23,13 +23,14 @@ def test_normalise(spark):
         spark,
         ("1", {"idTesis": 7, "rubro": "R", "materias": ["Civil", "Penal"], "anio": 2001, "tesis": "c"}),
         ("2", {"materias": "Común", "anio": "1999", "organoJuris": "O", "otra": {"x": 1}}),
-        ("3", {"materias": [], "anio": "mil"}),
+        ("3", {"materias": [], "anio": "mil"}), ("4", {"anio": 2020.0}), ("5", {"anio": "2020.5"}), ("6", {"anio": "1e99"}),
     ))
     got = {r.id_tesis: r for r in df.collect()}
     assert df.columns == TESIS.names
     assert (got["7"].materias, got["7"].anio, got["7"].tesis_codigo) == ("Civil, Penal", 2001, "c")
     assert (got["2"].materias, got["2"].anio, got["2"].organo_juris, got["2"].rubro) == ("Común", 1999, "O", "")
     assert (got["3"].materias, got["3"].anio) == ("", None)
+    assert (got["4"].anio, got["5"].anio, got["6"].anio) == (2020, None, None)
 
 
 @pytest.mark.parametrize("payload", ["[1, 2]", '"text"', "12", "nope", "", "null", "[{}]", "true"])
@@ -106,6 +107,24 @@ def test_stream_equals_batches(spark, tmp_path):
     assert {r.id_tesis: r.rubro for r in compacted.corpus.collect()} == titles(batched)
 
 
+def test_streams_and_batches_share_a_store(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), UPSERT)
+    store.load(replies(spark, ("1", {"rubro": "uno"}), ("2", {"rubro": "dos"})), 1)
+    for n, reply in enumerate((("3", {"rubro": "tres"}), ("4", {"rubro": "cuatro"}), ("2", {"rubro": "dos nuevo"}))):
+        landed = str(tmp_path / f"landed{n}")
+        replies(spark, reply).write.json(landed)
+        for _ in range(2):  # started again, a stream has nothing new
+            store.follow(landed, str(tmp_path / f"offsets{n}")).awaitTermination()
+    assert titles(store) == {"1": "uno", "2": "dos nuevo", "3": "tres", "4": "cuatro"}
+    assert sorted(r.batch for r in store.run_log().collect()) == [1, 2, 3, 4]
+    with pytest.raises(ValueError):
+        store.load(first(spark), 3)
+    store.load(replies(spark, ("1", {"rubro": "uno otra vez"})), 1)
+    assert titles(store)["1"] == "uno otra vez"
+    # A micro-batch that is repeated finds the number it had.
+    assert store._number("s", 7) == store._number("s", 7) == 5 and store._number("s", 8) == 6
+
+
 def test_batches_continue_a_library(spark, tmp_path, criteria):
     """Base and batches together answer like a library built from scratch."""
     from lexspark.plans import search

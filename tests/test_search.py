@@ -5,7 +5,7 @@ import pytest
 from lexspark import session
 from lexspark.operators import match
 from lexspark.plans import dossier, profile, reading, search
-from lexspark.plans.similar import similar_all
+from lexspark.plans.similar import similar_batch
 from lexspark.sources.tables import Library
 
 SYNONYMS = ["mente", "constitucional civil", "nicht"]
@@ -53,7 +53,55 @@ def test_binding_criteria_come_first(lib):
 
 def test_limits(lib):
     assert search.search_concept(lib, ["the"], limite=0, texts=False).count() == 1
-    assert search.search_concept(lib, ["the"], limite=999, texts=False).count() <= 100
+    assert search.search_concept(lib, ["the"], limite=100, texts=False).count() == 100
+
+
+@pytest.mark.parametrize("run", [
+    lambda lib: search.search_concept(lib, ["the"], limite=101),
+    lambda lib: search.search_similar(lib, "6", 51),
+    lambda lib: search.timeline(lib, ["the"], limite=81),
+    lambda lib: similar_batch(lib, lib.corpus, 51),
+    lambda lib: reading.read_many(lib, [str(n) for n in range(16)]),
+    lambda lib: search.search_near(lib, "the", "and", mode="scan"),
+])
+def test_more_than_the_maximum_is_an_error(lib, run):
+    with pytest.raises(ValueError):
+        run(lib)
+
+
+@pytest.mark.parametrize("bad,said", [
+    ({"limite": 101}, "limite above"), ({"distancia": 3}, "exactly two"),
+    ({"distancia": 3, "concepts": [["a"], ["b"], ["c"]]}, "exactly two"),
+])
+def test_batch_rejects_what_it_cannot_do(spark, lib, bad, said):
+    with pytest.raises(Exception, match=said):
+        search.search_batch(lib, search.query_table(spark, [{"concepts": [["the"]], **bad}])).collect()
+
+
+def test_batch_distances_are_clamped(spark, lib):
+    pair = [["the that"], ["and"]]
+    got = {}
+    for d in (0, 1, 100, 5000):
+        table = search.query_table(spark, [{"concepts": pair, "distancia": d, "limite": 100}])
+        got[d] = rows(search.search_batch(lib, table))
+    assert got[0] == got[1] != [] and got[100] == got[5000] != got[1]
+
+
+def test_any_number_of_concepts(criteria):
+    words = [f"w{n}" for n in range(80)]
+    small = Library.of(criteria([{"id_tesis": "all", "texto": " ".join(words)}, {"id_tesis": "less", "texto": " ".join(words[:-1])}]))
+    spark = small.corpus.sparkSession
+    for n in (2, 63, 64, 65, 80):
+        table = search.query_table(spark, [{"concepts": [[w] for w in words[-n:]]}])
+        assert [r.id_tesis for r in search.search_batch(small, table).collect()] == ["all"]
+
+
+def test_contradiction_across_lines(criteria):
+    from lexspark.operators import match
+
+    found = criteria([{"id_tesis": "1", "texto": "Contradicción\nentre varias de tesis"}, {"id_tesis": "2", "texto": "contradicción", "precedentes": "de tesis"},
+                      {"id_tesis": "3", "rubro": "contradiccion de criterios"}, {"id_tesis": "4", "texto": None}])
+    assert {r.id_tesis for r in found.filter(match.mentions_contradiction()).collect()} == {"1", "3"}
 
 
 def test_batch_equals_single(spark, lib):
@@ -102,7 +150,7 @@ def test_large_query_tables_take_the_salted_path(spark, lib, monkeypatch):
 
 def test_saved_library_reopens(spark, lib, tmp_path):
     Library.save(lib.corpus.drop("epoca_part"), str(tmp_path / "one"), 4)
-    again = Library.open(spark, str(tmp_path / "one"), 4)
+    again = Library.open(spark, str(tmp_path / "one"))
     fresh = Library.of(lib.corpus.drop("epoca_part"))
     for name in ("postings", "doc_stats", "term_stats", "corpus_stats"):
         a, b = getattr(again, name), getattr(fresh, name)
@@ -116,23 +164,41 @@ def test_stored_index_is_searched_without_shuffling_postings(lib):
     assert "PushedFilters: [In(tok" in plan
 
 
-def test_similar_all_is_the_single_form(lib):
+def test_reopened_with_its_own_buckets(spark, criteria, tmp_path):
+    """Another session knows neither the layout nor the tables; an old entry is replaced."""
+    ids = [str(n) for n in range(40)]
+    for buckets, text in ((8, "uno"), (6, "dos")):
+        Library.save(criteria([{"id_tesis": i, "texto": f"{text} palabra{i}"} for i in ids]), str(tmp_path / "lib"), buckets)
+        other = Library.open(spark.newSession(), str(tmp_path / "lib"))
+        for i in ids:
+            assert [r.texto for r in reading.read(other, i).collect()] == [f"{text} palabra{i}"]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        Library.open(spark, str(tmp_path / "nothing"))
+
+
+def references(lib, *ids):
+    return lib.corpus.sparkSession.createDataFrame([(i,) for i in ids], "id_tesis string")
+
+
+def test_similar_batch_is_the_single_form(lib):
+    keys = ("6", "11", "57", "138", "199")
     every = {}
-    for r in similar_all(lib, 5).collect():
+    for r in similar_batch(lib, references(lib, *keys, "6", "no such id"), 5).collect():
         every.setdefault(r.query_id, set()).add((r["rank"], r.id_tesis, r.bm25))
-    for key in ("6", "11", "57", "138", "199"):
+    assert set(every) == set(keys)
+    for key in keys:
         one = {(r["rank"], r.id_tesis, r.bm25) for r in search.search_similar(lib, key, 5, texts=False).collect()}
         assert one == every[key]
 
 
-def test_similar_all_with_a_hot_title(criteria):
+def test_similar_batch_with_a_hot_title(criteria):
     """A third of the criteria share a title and one word is everywhere: the result stays whole."""
     rows_ = [{"id_tesis": str(i), "texto": f"comun cuerpo{i % 7} extra{i}",
               "rubro": "comun repetido titulo" if i % 3 == 0 else f"comun cuerpo{i % 7} otro_mas{i % 2} cuerpo{i % 7}"}
              for i in range(90)]
     small = Library.of(criteria(rows_))
     every = {}
-    for r in similar_all(small, 7).collect():
+    for r in similar_batch(small, small.corpus, 7).collect():
         every.setdefault(r.query_id, set()).add((r["rank"], r.id_tesis, r.bm25))
     assert len(every) == 90 and all(len(v) == 7 for v in every.values())
     for key in ("0", "1", "50", "89"):
@@ -170,6 +236,27 @@ def test_dossier_joins_rounds(spark, lib):
     assert len({r.id_tesis for r in found}) == len(found)
 
 
+def test_dossier_keeps_cases_apart_and_crosses_what_is_named(spark, lib):
+    cases = spark.createDataFrame(
+        [("a|b", [["the"], ["and"], ["of"], ["is"]], [], None), ("a|c", [["mente"], ["nicht"], ["la"], ["zzzz"]], [], [0, 2]),
+         ("a", [["nicht"]], ["the"], None)],
+        "case_id string, concepts array<array<string>>, opposing array<string>, cruce array<int>")
+    found = dossier.dossier(lib, cases)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.case_id, {})[r.id_tesis] = r.rondas
+    assert set(got) == {"a|b", "a|c", "a"}
+    # All four concepts cross without a choice; only the named ones with it.
+    whole = search.query_table(spark, [{"concepts": [["the"], ["and"], ["of"], ["is"]], "limite": 15}])
+    named = search.query_table(spark, [{"concepts": [["mente"], ["la"]], "limite": 15}])
+    for case, table in (("a|b", whole), ("a|c", named)):
+        crossed = {i for i, x in got[case].items() if dossier.CROSSING in x}
+        assert crossed == {r.id_tesis for r in search.search_batch(lib, table).collect()}
+    read = dossier.read_marked(lib, found).collect()
+    assert {(r.case_id, r.id_tesis) for r in read} == {(r.case_id, r.id_tesis) for r in found.filter("leer").collect()}
+    assert all(r.texto for r in read)
+
+
 def test_diff_of_equal_results_is_empty(lib):
     one = search.search_concept(lib, SYNONYMS, texts=False)
     assert profile.result_diff(one, one).count() == 0
