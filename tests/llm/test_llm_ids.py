@@ -30,7 +30,8 @@ def test_encoder_equals_library(library):
 
 
 def test_encoder_with_a_small_memory(library, monkeypatch):
-    monkeypatch.setattr(tokens, "REMEMBERED", 3)
+    monkeypatch.setattr(tokens, "PARTS", 3)
+    monkeypatch.setattr(tokens, "WORDS", 2)
     code = tokens.Encoder(PATH)
     for text in texts(seed=6, n=60):
         assert np.frombuffer(code.encode(text), "<u4").tolist() == library(text)
