@@ -553,8 +553,8 @@ from (select split_part(qid, '|', 1) as case_id, split_part(qid, '|', 2) as rond
   where not contains(qid, '4 contradiccion') or {IS_BINDING}) where rank <= 15
 group by case_id, id_tesis, nivel"""
 ORACLES["dossier_read"] = (
-    "select case_id, lugar, id_tesis, nivel, rondas, rubro, md5(substr(texto, 1, 8000)) as texto_md5, "
-    "md5(substr(precedentes, 1, 2000)) as precedentes_md5 from (" + ORACLES["dossier"].replace("\nselect case_id", "\nselect case_id", 1)
+    "select case_id, lugar, id_tesis, nivel, rondas, rubro, md5(texto) as texto_md5, "
+    "md5(precedentes) as precedentes_md5 from (" + ORACLES["dossier"]
     + ") join (" + simple("select id_tesis, rubro, texto, precedentes from tesis") + ") using (id_tesis) where leer")
 _RELATED = {
     "Administrativa": ("Constitucional", "Común"), "Civil": ("Constitucional", "Común", "Mercantil"),

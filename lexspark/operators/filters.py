@@ -6,9 +6,9 @@ scan, and a table of queries, whose values are columns of the joined row.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 from functools import reduce
-from typing import Sequence
+from typing import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,29 +55,39 @@ def canonical_epochs(spark: SparkSession, epochs: Sequence[str]) -> list[str]:
     return known
 
 
+def rules(q: Callable[[str], Column], c: Callable[[str], Column]) -> list[Column]:
+    """The conditions of a query on a corpus row. `q` gives the query's values, `c` the
+    corpus columns; a value that asks for nothing makes its condition true."""
+    kind, tribunal, organ = c("tipo_tesis"), c("instancia"), c("organo_juris")
+    preset = F.when(q("instancia") == "", F.lit(True))
+    for name, condition in court.court_presets(tribunal, organ).items():
+        preset = preset.when(q("instancia") == name, condition)
+    return [
+        ~q("solo_jurisprudencia") | court.is_binding(kind),
+        (F.trim(q("materia")) == "") | contains_folded(c("materias"), F.trim(q("materia"))),
+        F.coalesce(preset, F.lit(False)),
+        (F.trim(q("organo")) == "") | contains_folded(organ, F.trim(q("organo"))),
+        (q("anio_minimo") <= 0) | (c("anio") >= q("anio_minimo")),
+        (q("anio_maximo") <= 0) | (c("anio") <= q("anio_maximo")),
+        (F.size(q("epocas")) == 0) | F.array_contains(q("epocas"), c("epoca")),
+        q("circuito").isNull() | court.binds_circuit(kind, tribunal, organ, q("circuito")),
+        q("excluir").isNull() | (c("id_tesis") != q("excluir")),
+    ]
+
+
 def literal_conditions(spark: SparkSession, f: Filters) -> list[Column]:
-    """Conditions on the corpus columns for one query."""
-    kind, tribunal, organ = F.col("tipo_tesis"), F.col("instancia"), F.col("organo_juris")
-    conditions: list[Column] = []
-    if f.solo_jurisprudencia:
-        conditions.append(court.is_binding(kind))
-    if f.materia and f.materia.strip():
-        conditions.append(contains_folded(F.col("materias"), F.lit(f.materia.strip())))
-    if f.instancia and f.instancia.strip():
-        conditions.append(court.court_presets(tribunal, organ)[preset_key(f.instancia)])
-    if f.organo and f.organo.strip():
-        conditions.append(contains_folded(organ, F.lit(f.organo.strip())))
-    if f.anio_minimo and f.anio_minimo > 0:
-        conditions.append(F.col("anio") >= int(f.anio_minimo))
-    if f.anio_maximo and f.anio_maximo > 0:
-        conditions.append(F.col("anio") <= int(f.anio_maximo))
-    if f.epocas:
-        conditions.append(F.col("epoca").isin(canonical_epochs(spark, f.epocas)))
-    if f.circuito is not None:
-        conditions.append(court.binds_circuit(kind, tribunal, organ, F.lit(f.circuito)))
-    if f.excluir is not None:
-        conditions.append(F.col("id_tesis") != f.excluir)
-    return conditions
+    """The rules for one query. Its values are literals, so the optimiser folds what it
+    does not ask for and pushes the rest to the scan."""
+    values = {
+        **asdict(f), "materia": f.materia or "", "organo": f.organo or "", "instancia": preset_key(f.instancia or ""),
+        "anio_minimo": int(f.anio_minimo or 0), "anio_maximo": int(f.anio_maximo or 0),
+        "solo_jurisprudencia": bool(f.solo_jurisprudencia),
+    }
+    epochs = F.array(*map(F.lit, canonical_epochs(spark, f.epocas))).cast("array<string>")
+    kinds = {"circuito": "int", "excluir": "string"}
+    return rules(
+        lambda name: epochs if name == "epocas" else F.lit(values[name]).cast(kinds[name]) if name in kinds else F.lit(values[name]),
+        F.col)
 
 
 def apply_filters(corpus: DataFrame, f: Filters) -> DataFrame:
@@ -105,28 +115,4 @@ def checked_filters(queries: DataFrame) -> DataFrame:
 
 def query_condition(q: str, c: str) -> Column:
     """The same rules with per-query values: struct `q` against corpus struct `c`."""
-
-    def query(name: str) -> Column:
-        return F.col(f"{q}.{name}")
-
-    def corpus(name: str) -> Column:
-        return F.col(f"{c}.{name}")
-
-    kind, tribunal, organ = corpus("tipo_tesis"), corpus("instancia"), corpus("organo_juris")
-    preset = F.when(query("instancia") == "", F.lit(True))
-    for name, condition in court.court_presets(tribunal, organ).items():
-        preset = preset.when(query("instancia") == name, condition)
-    rules = [
-        ~query("solo_jurisprudencia") | court.is_binding(kind),
-        (F.trim(query("materia")) == "")
-        | contains_folded(corpus("materias"), F.trim(query("materia"))),
-        F.coalesce(preset, F.lit(False)),
-        (F.trim(query("organo")) == "") | contains_folded(organ, F.trim(query("organo"))),
-        (query("anio_minimo") <= 0) | (corpus("anio") >= query("anio_minimo")),
-        (query("anio_maximo") <= 0) | (corpus("anio") <= query("anio_maximo")),
-        (F.size(query("epocas")) == 0) | F.array_contains(query("epocas"), corpus("epoca")),
-        query("circuito").isNull()
-        | court.binds_circuit(kind, tribunal, organ, query("circuito")),
-        query("excluir").isNull() | (corpus("id_tesis") != query("excluir")),
-    ]
-    return reduce(lambda a, b: a & b, rules)
+    return reduce(lambda a, b: a & b, rules(lambda name: F.col(f"{q}.{name}"), lambda name: F.col(f"{c}.{name}")))

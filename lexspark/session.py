@@ -22,6 +22,8 @@ def builder(app_name: str = "lexspark") -> SparkSession.Builder:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Checkpoint files go when nothing refers to them any more.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         # Tables bucketed by id stay in place when joined on the id and more.
         .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
         # More than the default 10 tokens of a query reach Parquet as an IN list.
