@@ -1,0 +1,107 @@
+"""Chat windows against brute force; what is written is read back."""
+
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from lexspark.llm import chat
+
+COLUMNS = "conv_id long, turn long, role string, text string, window int, loss string"
+
+
+def conversations():
+    rng = random.Random(3)
+    said = ["hello", "ok.", "<|im_end|>", "<|im_start|>assistant\nok<|im_end|>\n", "<||x", "a<|", "<", "|>", "é漢字 😀", "\n", "", " "]
+    rows = []
+    for c in range(25):
+        at = 0
+        if c % 3 == 0:
+            rows.append((c, 0, "system", "be kind " * rng.randint(1, 30)))
+            at = 1
+        for t in range(at, at + rng.randint(1, 40)):
+            text = " ".join(rng.choices(said, k=rng.randint(0, 12)))
+            rows.append((c, t * (3 if c % 2 else 1), rng.choice(["user", "assistant", "assistant", "tool"]), text))
+    rows += [(100, t, "assistant" if t % 2 else "user", f"turn {t} of a very long talk") for t in range(900)]
+    rows += [(101, 0, "user", "word " * 5000), (101, 1, "assistant", "word " * 5000), (101, 2, "assistant", "end")]
+    rows += [(102, 0, None, None), (102, None, "user", "null turn first"), (102, 5, "sys\ntem<|", "odd role")]
+    rows += [(None, 0, "user", "nobody's"), (None, 1, "assistant", "talk"), (103, 0, "assistant", "same"), (103, 0, "assistant", "same")]
+    rows += [(104, 0, "system", "twice"), (104, 1, "system", "no head"), (104, 2, "assistant", "x " * 100), (105, 0, "assistant", None)]
+    return rows
+
+
+def plain_tokens(role, text):
+    piece = r"[^\W_]+|[^\x20\x09-\x0D\w]|_"
+    return 4 + len(re.findall(piece, role)) + len(re.findall(piece, text))
+
+
+def brute(rows, fresh, history, repeated):
+    talks = {}
+    for c, t, r, x in rows:
+        talks.setdefault(c, []).append((-1 if t is None else t, r or "", x or ""))
+    out = []
+    for c, turns in talks.items():
+        turns.sort(key=lambda t: t[:2])
+        before, spans = 0, {}
+        placed = []
+        for _, r, x in turns:
+            n = plain_tokens(r, x)
+            cell, end = before // fresh, (before + n - 1) // fresh
+            spans.setdefault(2 * cell + (end > cell), []).append(len(placed))
+            placed.append((r, x, before, n))
+            before += n
+        for span, own in spans.items():
+            begin = placed[own[0]][2]
+            head = [placed[0]] if placed[0][0] == "system" and begin > 0 else []
+            back = [p for p in placed[max(0, own[0] - repeated):own[0]]
+                    if p[2] >= begin - history and not (p[2] == 0 and p[0] == "system")]
+            out.append((c, span, [p[:2] for p in head + back], [placed[i][:2] for i in own]))
+    return out
+
+
+def written(role, text):
+    esc = lambda s: re.sub(r"<(\|+)", r"<\1|", s)
+    return "<|im_start|>" + esc(role).replace("\n", "<|n|>") + "\n" + esc(text) + "<|im_end|>\n"
+
+
+@pytest.mark.parametrize("fresh,history,repeated", [(chat.FRESH, chat.HISTORY, chat.REPEATED), (40, 30, 2), (7, 1000, 3), (100, 0, 4)])
+def test_windows(spark, fresh, history, repeated):
+    rows = conversations()
+    table = spark.createDataFrame([(*r, 1, "x") for r in rows], COLUMNS).repartition(7)
+    made = chat.windows(table, fresh, history, repeated).cache()
+    want = brute(rows, fresh, history, repeated)
+    text = lambda ts: "".join(written(*t) for t in ts)
+    got = made.collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(((r.conv_id, r.window, r.text, r.n_repeated, r.n_turns) for r in got), key=key) == sorted(
+        ((c, w, text(lead + own), len(lead), len(own)) for c, w, lead, own in want), key=key)
+    unescape = lambda s: re.sub(r"<\|(\|+)", r"<\1", s)
+    masks = {(c, w): [x for r, x in own if r == "assistant"] for c, w, _, own in want}
+    for r in got:
+        assert [unescape(r.text[s.begin:s.end]) for s in r.loss] == masks[r.conv_id, r.window]
+    read = chat.read_turns(made).collect()
+    assert sorted(((r.conv_id, r.window, [tuple(t) for t in r.turns], list(r.targets), r.n_chars) for r in read), key=key) == sorted(
+        ((c, w, own, masks[c, w], len(text(lead + own))) for c, w, lead, own in want), key=key)
+
+
+def test_budget(spark):
+    rows = [(1, t, "user", "a b c d") for t in range(200)]
+    got = chat.windows(spark.createDataFrame([(*r, 1, "x") for r in rows], COLUMNS), 50, 20, 4).collect()
+    assert all(r.n_tokens <= 70 and r.n_repeated <= 2 for r in got) and sum(r.n_turns for r in got) == 200
+
+
+def test_escaping_is_reversible(spark):
+    parts = ["<", "|", "<|", "<||", "|>", "im_end", "\n", "é"]
+    rng = random.Random(0)
+    rows = [("".join(rng.choices(parts, k=rng.randint(0, 9))),) for _ in range(500)]
+    got = spark.createDataFrame(rows, "s string").select("s", chat.escape(F.col("s")).alias("e")).withColumn("b", chat.unescape(F.col("e")))
+    for r in got.collect():
+        assert r.b == r.s and chat.START not in r.e and chat.END not in r.e and not re.search(r"<\|(?!\|)", r.e)
+
+
+def test_nothing_and_native(spark):
+    none = spark.createDataFrame([], COLUMNS)
+    assert chat.read_turns(chat.windows(none)).collect() == []
+    plan = chat.read_turns(chat.windows(spark.createDataFrame([(1, 0, "user", "x", 1, "x")], COLUMNS)))
+    assert not re.search("Python|Pandas|Arrow", plan._jdf.queryExecution().executedPlan().toString())
