@@ -17,6 +17,8 @@ BLANKS = " \t\n\x0b\f\r"
 BATCH_BYTES = 4 << 20
 # monotonically_increasing_id(): partition in the upper bits, row in the lower 33.
 ROW_BITS = 33
+# See spread_join().
+HEAVY, SALTS = 1000, 64
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -70,6 +72,24 @@ def ordered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     )
 
 
+def spread_join(many: DataFrame, few: DataFrame, key: str, by: str) -> DataFrame:
+    """Inner join of `many` with `few`, which has one row per `key` and, as `n`, the
+    number of rows of `many` that have it.
+
+    Keys with more than one row in HEAVY, of which there are less than HEAVY, are told
+    to all tasks; their rows are dealt out over SALTS by `by`, and their one row of
+    `few` is copied as often. A key with a third of all rows is spread that way.
+    """
+    total = few.agg(F.sum("n")).first()[0] or 0
+    heavy = F.col("n") * HEAVY > total
+    salts = F.when(heavy, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    copies = few.withColumn("_salt", F.explode(salts)).drop("n")
+    hot = F.broadcast(few.where(heavy).select(F.col(key).alias("_hot")))
+    dealt = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(0)
+    salted = many.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", dealt).drop("_hot")
+    return salted.join(copies, [key, "_salt"]).drop("_salt")
+
+
 def key_of_line(line: Column) -> Column:
     """A line without blanks at both ends and with A-Z lower-cased."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

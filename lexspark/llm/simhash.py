@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import components, partitions, stored
+from lexspark.llm.common import components, partitions, spread_join, stored
 
 WORDS = 4
 DISTANCE = 4
@@ -347,13 +347,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANC
     of copies cost nothing there.
     """
     marked = stored(fingerprints(docs, words), "fingerprints")
-    firsts = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    counted = marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    firsts = stored(counted, "distinct")
     member = components(links(firsts.withColumn("node", F.col("fp")), distance)).withColumnRenamed("node", "fp")
     roots = firsts.join(member, "fp").select("fp", "root", "first")
-    lowest = roots.groupBy("root").agg(F.min("first").alias("lowest"))
-    linked = roots.join(lowest, "root").select("fp", "lowest")
-    ids = firsts.join(linked, "fp", "left").select("fp", F.coalesce("lowest", "first").alias("component_id"))
-    return marked.join(ids, "fp").select("doc_id", "fp", "component_id")
+    lowest = roots.groupBy("root").agg(F.min("first").alias("lowest"), F.count(F.lit(1)).alias("n"))
+    linked = spread_join(roots, lowest, "root", "fp").select("fp", "lowest")
+    ids = firsts.join(linked, "fp", "left").select("fp", "n", F.coalesce("lowest", "first").alias("component_id"))
+    return spread_join(marked, stored(ids, "ids"), "fp", "doc_id").select("doc_id", "fp", "component_id")
 
 
 #: For representatives(): the probed fingerprint is of single distinct words, of which
@@ -403,16 +404,20 @@ def representatives(docs: DataFrame, distance: int = PROBE_DISTANCE, limit: int
     text one stays. An empty table stays empty.
     """
     marked = stored(sketches(docs).withColumn("node", F.xxhash64("fp", *CHECKS)), "sketches")
-    distinct = stored(marked.groupBy("node").agg(*[F.min(c).alias(c) for c in ("fp", *CHECKS)]), "distinct")
+    counted = marked.groupBy("node").agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in ("fp", *CHECKS)])
+    distinct = stored(counted, "distinct")
     member = components(links(distinct, distance, CHECKS, limit))
-    grouped = marked.join(member, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("group"))
+    group = distinct.join(member, "node", "left").select("node", "n", F.coalesce("root", "node").alias("group"))
+    grouped = spread_join(marked.select("doc_id", "key", "node"), stored(group, "groups"), "node", "doc_id")
     rows = stored(grouped.groupBy("group", "doc_id", "key").agg(F.count(F.lit(1)).alias("n")), "rows")
-    stays = rows.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "key")).alias("_stay"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "key")).alias("_stay")
+    stays = stored(rows.groupBy("group").agg(first, F.count(F.lit(1)).alias("n")), "stays")
     same = F.col("doc_id").eqNullSafe(F.col("_stay.doc_id")) & F.col("key").eqNullSafe(F.col("_stay.key"))
-    judged = rows.join(stays, "group").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "n", same.alias("_stays"))
+    judged = spread_join(rows.withColumnRenamed("n", "_n"), stays, "group", "doc_id").select(
+        F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "_n", same.alias("_stays"))
     # Few rows go, so few are looked up; rows that stay once are not shuffled if Spark
     # can broadcast the others.
-    gone = stored(judged.where("not _stays or n > 1"), "gone")
+    gone = stored(judged.where("not _stays or _n > 1"), "gone")
     on = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.xxhash64("text").eqNullSafe(F.col("_key"))
     once = docs.join(gone, on, "left_anti")
     again = docs.join(gone.where("_stays"), on, "left_semi").dropDuplicates(["doc_id", "text"])

@@ -219,7 +219,7 @@ def occurrences(spark: SparkSession, path: str, tokens: list[int]) -> DataFrame:
             for b in parts:
                 for r in b.to_pylist():
                     m = WaveletMatrix(r["n_tokens"], r["zeros"], r["planes"], r["ones"])
-                    for t in tokens:
+                    for t in sorted(set(tokens)):
                         for k in range(m.count(t)):
                             yield t, r["start"] + m.select(t, k)
 
