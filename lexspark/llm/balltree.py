@@ -138,7 +138,7 @@ def _centres(vectors: DataFrame, dim: int, wanted: int) -> np.ndarray:
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(FIT_ROWS, 64 * wanted)).collect()
     points = _matrix(pa.array([r.v for r in sample], pa.list_(pa.int64())), dim)
     centres = np.unique(points, axis=0)[: min(wanted, CELLS)].copy()
-    for _ in range(8):
+    for _ in range(8 if len(centres) else 0):
         nearest, _ = _nearest(points, centres)
         for c in range(len(centres)):
             if (nearest == c).any():

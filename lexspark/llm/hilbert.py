@@ -72,6 +72,7 @@ def hilbert(df: DataFrame, dims: list[str], bounds: list[np.ndarray], bits: int
     @F.pandas_udf("cells array<int>, curve long")
     def place(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         for columns in parts:
+            columns = columns if isinstance(columns, tuple) else (columns,)
             cells = np.stack([
                 np.where(c.isna(), 0, 1 + np.searchsorted(b, c.to_numpy(float, na_value=0.0), "left"))
                 for c, b in zip(columns, bounds, strict=True)], 1)
