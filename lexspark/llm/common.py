@@ -154,7 +154,7 @@ def components(links: DataFrame) -> DataFrame:
     before = None
     while True:
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if state == before:
+        if not state[0] or state == before:
             break
         before = state
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -414,11 +414,11 @@ def representatives(docs: DataFrame, distance: int = PROBE_DISTANCE, limit: int
     stays = stored(rows.groupBy("group").agg(first, F.count(F.lit(1)).alias("n")), "stays")
     same = F.col("doc_id").eqNullSafe(F.col("_stay.doc_id")) & F.col("key").eqNullSafe(F.col("_stay.key"))
     judged = spread_join(rows.withColumnRenamed("n", "_n"), stays, "group", "doc_id").select(
-        F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "_n", same.alias("_stays"))
+        F.col("doc_id").alias("__gone_id"), F.col("key").alias("__gone_key"), "_n", same.alias("_stays"))
     # Few rows go, so few are looked up; rows that stay once are not shuffled if Spark
     # can broadcast the others.
-    gone = stored(judged.where("not _stays or _n > 1"), "gone")
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.xxhash64("text").eqNullSafe(F.col("_key"))
+    gone = stored(judged.where("not _stays or _n > 1").withColumnRenamed("_stays", "__stays").drop("_n"), "gone")
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col("__gone_id")) & F.xxhash64("text").eqNullSafe(F.col("__gone_key"))
     once = docs.join(gone, on, "left_anti")
-    again = docs.join(gone.where("_stays"), on, "left_semi").dropDuplicates(["doc_id", "text"])
+    again = docs.join(gone.where("__stays"), on, "left_semi").dropDuplicates(["doc_id", "text"])
     return once.unionByName(again)
