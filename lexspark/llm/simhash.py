@@ -415,10 +415,11 @@ def representatives(docs: DataFrame, distance: int = PROBE_DISTANCE, limit: int
     same = F.col("doc_id").eqNullSafe(F.col("_stay.doc_id")) & F.col("key").eqNullSafe(F.col("_stay.key"))
     judged = spread_join(rows.withColumnRenamed("n", "_n"), stays, "group", "doc_id").select(
         F.col("doc_id").alias("__gone_id"), F.col("key").alias("__gone_key"), "_n", same.alias("_stays"))
-    # Few rows go, so few are looked up; rows that stay once are not shuffled if Spark
-    # can broadcast the others.
-    gone = stored(judged.where("not _stays or _n > 1").withColumnRenamed("_stays", "__stays").drop("_n"), "gone")
+    judged = stored(judged.where("not _stays or _n > 1"), "judged")
     on = F.col("doc_id").cast("long").eqNullSafe(F.col("__gone_id")) & F.xxhash64("text").eqNullSafe(F.col("__gone_key"))
-    once = docs.join(gone, on, "left_anti")
-    again = docs.join(gone.where("__stays"), on, "left_semi").dropDuplicates(["doc_id", "text"])
+    # What goes grows with the corpus: one plan for all sizes, in which the documents
+    # meet it once by key. Rows that stay but are repeated are few and apart.
+    once = docs.join(judged.select("__gone_id", "__gone_key").hint("merge"), on, "left_anti")
+    repeated = stored(judged.where("_stays").select("__gone_id", "__gone_key"), "repeated")
+    again = docs.join(repeated, on, "left_semi").dropDuplicates(["doc_id", "text"])
     return once.unionByName(again)

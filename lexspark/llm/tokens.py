@@ -9,8 +9,8 @@ from array import array
 import regex
 
 # Parts of texts and words remembered per Python worker; bounds on memory only (about
-# 400 MB), results never depend on them.
-PARTS, WORDS = 1_000_000, 1_000_000
+# 250 MB), results never depend on them.
+PARTS, WORDS = 600_000, 800_000
 LONG_WORD = 64
 
 # The words of a byte-level pre-tokenizer, and the letters that stand for
