@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexspark.llm import minhash
 from lexspark.llm.common import components, partitions, spread_join, stored
 
 WORDS = 4
@@ -357,56 +358,52 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANC
     return spread_join(marked, stored(ids, "ids"), "fp", "doc_id").select("doc_id", "fp", "component_id")
 
 
-#: For representatives(): the probed fingerprint is of single distinct words, of which
-#: near copies share almost all; the compared one has CHECK_BITS bits of shingles of
-#: CHECK_WORDS words. Two texts of Jaccard similarity s on such shingles differ in
-#: about acos(2s / (1 + s)) / pi of its bits: 19.5 of 128, +- 4, for s = 0.8. The limit
-#: lies two deviations above.
-PROBE_DISTANCE, CHECK_WORDS, CHECK_LIMIT = 10, 5, 27
-CHECKS = ("check0", "check1")
-# An odd number; it turns a shingle's hash into that of the second half of the bits.
-SECOND = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _probe_and_checks(text: str | None) -> tuple[int, int, int]:
-    tokens = words_of(text)
-    probe = majority(iter([np.array([xxhash.xxh64_intdigest(w, SEED) for w in sorted(set(tokens))], "<u8")])) if tokens else 0
-    first, second = [], []
-    for h in shingle_hashes(tokens, CHECK_WORDS):
-        first.append(h)
-        other = h * SECOND
-        second.append((other ^ other >> np.uint64(29)) * SECOND)
-    return tuple(int(np.uint64(x).astype(np.int64)) for x in (probe, majority(iter(first)), majority(iter(second))))
+def distinct_shingles(text: str | None) -> np.ndarray:
+    """The distinct hashes of a text's shingles of minhash.WORDS words, sorted."""
+    found = list(shingle_hashes(words_of(text), minhash.WORDS))
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, "<u8")
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, key (a hash of the text), fp, check0, check1 of every row of `docs`."""
-    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "key", "fp", *CHECKS)])
+    """doc_id, key (a hash of the text), node (a hash of its words), bands of every row of `docs`."""
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("node", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            found = np.array([_probe_and_checks(t.as_py()) for t in b.column("text")], np.int64).reshape(-1, 3)
+            nodes, bands = [], []
+            for t in b.column("text"):
+                t = t.as_py()
+                nodes.append(xxhash.xxh64_intdigest(b" ".join(words_of(t)), SEED))
+                bands.append(minhash.bands(distinct_shingles(t)))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("key"), *[pa.array(np.ascontiguousarray(found[:, i])) for i in range(3)]], schema=schema)
+                [b.column("doc_id"), b.column("key"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(bands, schema.field("bands").type)],
+                schema=schema)
 
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), "text").mapInArrow(
-        run, ", ".join(f"{c} long" for c in schema.names))
+        run, "doc_id long, key long, node long, bands array<long>")
 
 
-def representatives(docs: DataFrame, distance: int = PROBE_DISTANCE, limit: int = CHECK_LIMIT) -> DataFrame:
+def representatives(docs: DataFrame) -> DataFrame:
     """The rows of `docs` (doc_id, text, any other columns), without all but one row of
     each group of near copies: the one with the smallest doc_id stays.
 
-    Near copies are texts whose shingles of five words are similar by 0.8 or more,
-    judged by the fingerprints above; groups are what such links connect. Texts equal
-    in words are one group. Null, empty and blank texts are one group too. A row with
-    a null doc_id stays only if its group has no other; of rows equal in doc_id and
-    text one stays. An empty table stays empty.
+    Near copies are texts whose distinct shingles of five words have a Jaccard
+    similarity of 0.8 or more; `minhash` proposes pairs and compares their shingles.
+    Groups are what such pairs connect. Texts equal in words are one group. Null, empty
+    and blank texts are one group too. A row with a null doc_id stays only if its group
+    has no other; of rows equal in doc_id and text one stays. An empty table stays empty.
     """
-    marked = stored(sketches(docs).withColumn("node", F.xxhash64("fp", *CHECKS)), "sketches")
-    counted = marked.groupBy("node").agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in ("fp", *CHECKS)])
+    marked = stored(sketches(docs), "sketches")
+    counted = marked.groupBy("node").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first"), F.first("bands").alias("bands"))
     distinct = stored(counted, "distinct")
-    member = components(links(distinct, distance, CHECKS, limit))
+
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        at = distinct.join(nodes, "node").select("node", F.col("first.doc_id").alias("__id"), F.col("first.key").alias("__key"))
+        on = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.xxhash64("text").eqNullSafe(F.col("__key"))
+        return docs.select("doc_id", "text").join(at.hint("merge"), on).select("node", "text").dropDuplicates(["node"])
+
+    member = minhash.connected(distinct, texts_of, distinct_shingles)
     group = distinct.join(member, "node", "left").select("node", "n", F.coalesce("root", "node").alias("group"))
     grouped = spread_join(marked.select("doc_id", "key", "node"), stored(group, "groups"), "node", "doc_id")
     rows = stored(grouped.groupBy("group", "doc_id", "key").agg(F.count(F.lit(1)).alias("n")), "rows")
