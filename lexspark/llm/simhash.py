@@ -241,16 +241,25 @@ def compare_runs(rows: "_Rows", starts: np.ndarray, distance: int, free: int, li
     """Link what is within `distance` inside each run of rows that begins at `starts`.
 
     Runs are compared with themselves shifted by 1, 2, ...; a run of more than
-    SMALL_GROUP is first divided by the pigeonhole principle on its `free` bits, so
-    that a crowded group costs far less than all its pairs, and loses none.
+    SMALL_GROUP is first divided by the pigeonhole principle on those of its `free` bits
+    that differ inside it, so that a crowded group costs far less than all its pairs,
+    and loses none. Each part holds such a bit, so each division shrinks the run; a run
+    that differs in `distance` bits at most is linked as it stands.
     """
     sizes = np.diff(np.append(starts, len(rows.fp)))
-    free_bits = [b for b in range(BITS) if free >> b & 1]
-    large = (sizes > SMALL_GROUP) & (len(free_bits) > distance)
-    for s, k in zip(starts[large], sizes[large]):
-        group = rows.take(slice(s, s + k))
+    large = sizes > SMALL_GROUP
+    for at in np.flatnonzero(large):
+        group = rows.take(slice(starts[at], starts[at] + sizes[at]))
+        varied = int(np.bitwise_or.reduce(group.fp ^ group.fp[0])) & free
+        bits_of = [b for b in range(BITS) if varied >> b & 1]
+        if len(bits_of) <= distance:
+            if rows.checks is None:
+                links.add(np.full(len(group.node) - 1, group.node[0]), group.node[1:])
+            else:
+                large[at] = False
+            continue
         for i in range(distance + 1):
-            bits = free_bits[i::distance + 1]
+            bits = bits_of[i::distance + 1]
             key = group.fp & np.uint64(mask_of(bits))
             order = np.argsort(key, kind="stable")
             inner = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))

@@ -161,3 +161,23 @@ def test_representatives(spark):
     missing, extra = set(want) - set(got), set(got) - set(want)
     assert not missing and len(extra) <= 2 and got.count(None) == 1 and got.count(1) == 1
     assert simhash.representatives(empty(spark)).collect() == []
+
+
+@pytest.mark.parametrize("distance", [4, 10])
+def test_crowded_runs_of_equal_fingerprints_end(monkeypatch, distance):
+    monkeypatch.setattr(simhash, "SMALL_GROUP", 8)
+    calls, plain_compare = [], simhash.compare_runs
+
+    def counted(*args):
+        calls.append(1)
+        assert len(calls) < 5000
+        return plain_compare(*args)
+
+    monkeypatch.setattr(simhash, "compare_runs", counted)
+    fps = np.array([5] * 30 + [6] * 30 + [2 ** 60 - 1] * 30, np.uint64)
+    node = np.arange(90)
+    for checks in (None, np.zeros((90, 2), np.uint64)):
+        found = simhash._Links()
+        simhash.compare_runs(simhash._Rows(fps, node, checks, 0), np.array([0]), distance, 2 ** 64 - 1, found)
+        a, b = found.reduce()
+        assert groups(node.tolist(), zip(a.tolist(), b.tolist())) == {n: 0 if n < 60 else 60 for n in range(90)}
