@@ -60,6 +60,11 @@ def test_copies_are_found_whatever_was_edited(spark):
     assert len(missed) <= 1
 
 
+def test_texts_below_the_similarity_stay(spark):
+    found = pairs(2, 0.6, 0.8, 60)
+    assert kept(spark, found) == set(range(2 * len(found)))
+
+
 @pytest.mark.parametrize("stars, block", [(0, 7), (2, 5)])
 def test_crowded_groups_against_brute_force(spark, monkeypatch, stars, block):
     monkeypatch.setattr(minhash, "STARS", stars)
@@ -79,3 +84,20 @@ def test_crowded_groups_against_brute_force(spark, monkeypatch, stars, block):
     rows = [(i, " ".join(d)) for i, d in enumerate(docs)]
     got = simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(set(root)) > 4 and {r.doc_id for r in got} == set(root)
+
+
+def test_near_copies_of_the_pipeline_are_exact(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    words = {r.doc_id: (r.text or "").encode().lower().split() for r in docs.collect()}
+    stay = {r.doc_id for r in simhash.representatives(docs).collect()}
+    by = {}
+    for d, w in words.items():
+        for s in shingles(w):
+            by.setdefault(s, []).append(d)
+    near = set()
+    for pair in {(a, b) for ds in by.values() if len(ds) > 1 for i, a in enumerate(ds) for b in ds[i + 1:]}:
+        if similarity(words[pair[0]], words[pair[1]]) >= 0.8:
+            near.add(pair)
+    # What has no neighbour stays, and of two neighbours one goes.
+    assert set(words) - {d for p in near for d in p} <= stay
+    assert near and not any(a in stay and b in stay for a, b in near)
