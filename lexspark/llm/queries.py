@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def op1_wavelet(spark, sf_dir):
     path = folder(spark, "wavelet")
-    wavelet.write_shards(table(spark, sf_dir, "documents"), path, public_tokenizers.path(IDS))
+    wavelet.write_shards(table(spark, sf_dir, "documents"), path, public_tokenizers.path(IDS), added=True)
     return wavelet.read_documents(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
@@ -47,7 +47,7 @@ def op2_hilbert(spark, sf_dir):
 
 @query
 def op3_tiers(spark, sf_dir):
-    packed = tiers.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(IDS))
+    packed = tiers.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(IDS), added=True)
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
                          "offset", "window", "step_group")
 

@@ -151,12 +151,13 @@ class Packer:
         return done
 
 
-def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, step: int = STEP) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, step: int = STEP, added: bool = False) -> DataFrame:
     """Pieces of all `docs` (doc_id, text; other columns are not read), each id in
     exactly one piece: doc_id, start, length, ids (little-endian unsigned 32-bit),
     doc_tokens, sequence_id, offset, window (the sequence's size), step_group.
 
-    Texts are encoded whole, closed by id 0; a null or empty text is that id alone.
+    Texts are encoded whole, closed by id 0; a null or empty text is that id alone. `added`:
+    see tokens.Encoder.
     A null doc_id is kept, rows that share a doc_id are documents of their own, an
     empty table gives no piece. Each task packs the rows of its partition, so
     nothing is shuffled; every sequence is full, only the last few of a task are
@@ -167,7 +168,7 @@ def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, step:
     schema = to_arrow_schema(StructType.fromDDL(SCHEMA))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, end = encoder(tokenizer), bytes(4)
+        code, end = encoder(tokenizer, added), bytes(4)
         packer = Packer(tiers, step, TaskContext.get().partitionId() << ROW_BITS)
 
         def rows():

@@ -23,14 +23,14 @@ _LETTERS = {b: chr(b) for b in _SEEN} | {b: chr(256 + n) for n, b in enumerate(s
 # the library's own pre-tokenizer.
 _SETTLED = re.compile("[\t-\r -~\u00a1-\u052f]*").fullmatch
 
-_encoders: dict[str, "Encoder"] = {}
+_encoders: dict[tuple[str, bool], "Encoder"] = {}
 
 
-def encoder(path: str) -> "Encoder":
+def encoder(path: str, added: bool = False) -> "Encoder":
     """The encoder of a file, loaded once per Python worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, added) not in _encoders:
+        _encoders[path, added] = Encoder(path, added)
+    return _encoders[path, added]
 
 
 class _Memory(dict):
@@ -57,10 +57,12 @@ class Encoder:
     A text is cut only before a blank that a non-blank follows. There the
     pre-tokenizer always starts a new word (its words hold one blank at most, in
     front), and merges never cross words; so the ids of the parts, one after the
-    other, are the ids of the whole text. Strings of special tokens are text.
+    other, are the ids of the whole text. With `added`, a text that holds the string of
+    a token added to the vocabulary (special or not) goes through the library's own
+    encode, as it stands; without, such strings are text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -72,6 +74,8 @@ class Encoder:
         self._words = _Memory(self._word, WORDS)
         self._parts = _Memory(self._part, PARTS)
         self.size = whole.get_vocab_size()
+        self._whole = whole
+        self._added = [t.content for t in whole.get_added_tokens_decoder().values()] if added else []
 
     def _letters(self, letters: str) -> bytes:
         return array("I", [t.id for t in self._model.tokenize(letters)]).tobytes()
@@ -97,6 +101,8 @@ class Encoder:
         """Ids as little-endian unsigned 32-bit integers; null is an empty text."""
         if not text:
             return b""
+        if any(a in text for a in self._added):
+            return array("I", self._whole.encode(text, add_special_tokens=False).ids).tobytes()
         if text[-1] == " " or re.search(r" \s", text):
             first, *rest = re.split(r" (?=\S)", text)
         else:

@@ -149,11 +149,11 @@ def _segments(rows: Iterator[tuple[int | None, bytes]], bits: int, size: int) ->
         yield close()
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer: str, segment: int = SEGMENT) -> None:
+def write_shards(docs: DataFrame, path: str, tokenizer: str, segment: int = SEGMENT, added: bool = False) -> None:
     """Encode `docs` (doc_id, text; other columns are not read) and write shards.
 
     Every text is encoded whole and closed by id 0; a null or empty text is that id
-    alone. Documents are ordered by doc_id, a null one first; rows that share a
+    alone; `added`: see tokens.Encoder. Documents are ordered by doc_id, a null one first; rows that share a
     doc_id stay apart, ordered by a hash of their text. Texts, not ids, are dealt
     to ranges, so that encoding runs once and after the only shuffle. An empty
     table gives a folder without segments.
@@ -163,7 +163,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, segment: int = SEGM
     schema = to_arrow_schema(StructType.fromDDL(FORMAT))
 
     def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, end = encoder(tokenizer), bytes(4)
+        code, end = encoder(tokenizer, added), bytes(4)
         rows = ((d, code.encode(t) + end) for b in parts for d, t in texts_of(b))
         yield from batches(_segments(rows, bits, segment), schema, lambda r: sum(map(len, r[8])))
 
