@@ -13,6 +13,7 @@ from lexspark.session import shared_dir
 
 # The characters of [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\f\r"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Arrow batches handed back to Spark hold about this many bytes.
 BATCH_BYTES = 4 << 20
 # monotonically_increasing_id(): partition in the upper bits, row in the lower 33.
@@ -46,20 +47,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def ordered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """The rows with their 0-based `rank` in the order of `keys`.
+def numbered(df: DataFrame, name: str, column: str = "row") -> DataFrame:
+    """`df`, stored, with a gapless 0-based number in the order of its partitions.
 
-    Rows are dealt by ranges of all keys, so that a frequent value of the first
-    key is spread as long as a later one tells its rows apart. No task sees more
-    than its range: a range's first rank is the sum of the counts before it (one
-    row per range, so that table is small at any size).
+    A partition's first number is the sum of the counts before it (one row per
+    partition, so that table is small at any size).
     """
-    spark = df.sparkSession
-    placed = stored(
-        df.repartitionByRange(partitions(spark), *keys).sortWithinPartitions(*keys)
-        .withColumn("_at", F.monotonically_increasing_id()),
-        name,
-    )
+    placed = stored(df.withColumn("_at", F.monotonically_increasing_id()), name)
     part = F.shiftright("_at", ROW_BITS)
     firsts = (
         placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
@@ -67,33 +61,44 @@ def ordered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     )
     return (
         placed.withColumn("_part", part).join(F.broadcast(firsts), "_part")
-        .withColumn("rank", F.col("_first") + F.col("_at").bitwiseAND((1 << ROW_BITS) - 1))
+        .withColumn(column, F.col("_first") + F.col("_at").bitwiseAND((1 << ROW_BITS) - 1))
         .drop("_part", "_first", "_at")
     )
 
 
+def ordered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """The rows with their 0-based `rank` in the order of `keys`.
+
+    Rows are dealt by ranges of all keys, so that a frequent value of the first
+    key is spread as long as a later one tells its rows apart. No task sees more
+    than its range.
+    """
+    dealt = df.repartitionByRange(partitions(df.sparkSession), *keys).sortWithinPartitions(*keys)
+    return numbered(dealt, name, "rank")
+
+
 def spread_join(many: DataFrame, few: DataFrame, key: str, by: str) -> DataFrame:
     """Inner join of `many` with `few`, which has one row per `key` and, as `n`, the
     number of rows of `many` that have it.
 
-    Keys with more than one row in HEAVY, of which there are less than HEAVY, are told
-    to all tasks; their rows are dealt out over SALTS by `by`, and their one row of
+    Keys with more than one row in HEAVY, of which there are less than HEAVY, are named
+    in the plan; their rows are dealt out over SALTS by `by`, and their one row of
     `few` is copied as often. A key with a third of all rows is spread that way.
     """
     total = few.agg(F.sum("n")).first()[0] or 0
-    heavy = F.col("n") * HEAVY > total
-    salts = F.when(heavy, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    heavy = (F.col("n") * HEAVY > total) & (F.col("n") > SALTS)
+    hot = [r[0] for r in few.where(heavy).select(key).collect()]
+    if not hot:
+        return many.join(few.drop("n"), key)
+    salts = F.when(F.col(key).isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     copies = few.withColumn("_salt", F.explode(salts)).drop("n")
-    hot = F.broadcast(few.where(heavy).select(F.col(key).alias("_hot")))
-    dealt = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(0)
-    salted = many.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", dealt).drop("_hot")
-    return salted.join(copies, [key, "_salt"]).drop("_salt")
+    dealt = F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(0)
+    return many.withColumn("_salt", dealt).join(copies, [key, "_salt"]).drop("_salt")
 
 
 def key_of_line(line: Column) -> Column:
     """A line without blanks at both ends and with A-Z lower-cased."""
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.translate(F.btrim(line, F.lit(BLANKS)), upper, upper.lower())
+    return F.translate(F.btrim(line, F.lit(BLANKS)), UPPER, LOWER)
 
 
 def batches(rows: Iterator[tuple], schema: pa.Schema, weigh) -> Iterator[pa.RecordBatch]:

@@ -112,3 +112,42 @@ select w.conv_id, n_turns, sha256(said) as turns_sha256, length(loss) as loss_ch
   (w.size + coalesce(history.size, 0) + coalesce(heads.size, 0))::bigint as formatted_chars
 from w left join history using (conv_id) left join heads using (conv_id)
 """
+
+ORACLES["op12_variants"] = rf"""
+with recursive
+tab as (
+  select list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k:
+    case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i)) as t),
+runs as (
+  select coalesce(doc_id::varchar, '') as id,
+    unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) as run from documents),
+once as (select id, run, count(*) as n from runs where length(run) >= 5 group by id, run),
+hashed as (
+  select run, n, xor(4294967295, list_reduce(
+      flatten(list_transform(string_split(id || ':' || run, ''), lambda c:
+        case when ord(c) < 128 then [ord(c)] else [195, ord(c) - 64] end)),
+      lambda s, b: xor(s >> 8, t[1 + (xor(s, b::bigint) & 255)]), 4294967295::bigint)) as h
+  from once, tab),
+words as (
+  select word, sum(n)::bigint as n from (
+    select case when h % 97 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, n
+    from hashed)
+  where length(word) >= 5 group by word having sum(n) >= 3),
+cut as (
+  select word, i, substr(word, 1, (i - 1)::int) || substr(word, (i + 1)::int) as rest
+  from (select word, unnest(range(1, length(word) + 1)) as i from words)),
+near as (
+  select x.word as a, y.word as b from cut x join cut y on x.rest = y.rest and x.i = y.i and x.word <> y.word
+  union select word, rest from cut where rest in (select word from words)
+  union select rest, word from cut where rest in (select word from words)),
+about as (
+  select a, count(*) as n_near, first(b order by n desc, b) as b, max(n) as m
+  from near join words on b = word group by a),
+formed as (
+  select word, n, coalesce(n_near, 0) as n_near, case when m >= 2 * n then b end as form, case when m >= 2 * n then m end as form_n
+  from words left join about on word = a),
+chain as (
+  select word, word as root, form from formed
+  union all select chain.word, chain.form, f.form from chain join formed f on f.word = chain.form)
+select word, formed.form, root, n, n_near, form_n from formed join chain using (word) where chain.form is null
+"""

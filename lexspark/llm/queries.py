@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm import balltree, chat, hilbert, langmix, linededup, linefirst, pieces, simhash, tiers, wavelet
+from lexspark.llm import (
+    balltree, chat, hilbert, jaccard, langmix, linededup, linefirst, pieces, simhash, tiers, variants, wavelet, whitening)
 from lexspark.llm.common import folder
 
 REGISTERED: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +110,18 @@ def op10_chat(spark, sf_dir):
     return whole.select(
         "conv_id", "n_turns", F.sha2(said, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"),
         F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")
+
+
+@query
+def op11_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_variants(spark, sf_dir):
+    return variants.grouped(variants.vocabulary(table(spark, sf_dir, "documents")))
+
+
+@query
+def op13_jaccard(spark, sf_dir):
+    return jaccard.near_documents(table(spark, sf_dir, "documents"))
