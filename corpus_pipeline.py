@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm import langmix, linededup, linefirst, simhash, tiers
+from lexspark.llm import langmix, linededup, linefirst, neardup, tiers
 from lexspark.llm.common import stored
 
 #: A text whose best language holds less than this is no text of a known language.
@@ -51,7 +51,7 @@ def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return simhash.representatives(docs)
+    return neardup.representatives(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

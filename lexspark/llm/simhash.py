@@ -12,7 +12,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexspark.llm import minhash
 from lexspark.llm.common import components, partitions, spread_join, stored
 
 WORDS = 4
@@ -365,67 +364,3 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANC
     linked = spread_join(roots, lowest, "root", "fp").select("fp", "lowest")
     ids = firsts.join(linked, "fp", "left").select("fp", "n", F.coalesce("lowest", "first").alias("component_id"))
     return spread_join(marked, stored(ids, "ids"), "fp", "doc_id").select("doc_id", "fp", "component_id")
-
-
-def distinct_shingles(text: str | None) -> np.ndarray:
-    """The distinct hashes of a text's shingles of minhash.WORDS words, sorted."""
-    found = list(shingle_hashes(words_of(text), minhash.WORDS))
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, "<u8")
-
-
-def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, key (a hash of the text), node (a hash of its words), bands of every row of `docs`."""
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("node", pa.int64()), ("bands", pa.list_(pa.int64()))])
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in parts:
-            nodes, bands = [], []
-            for t in b.column("text"):
-                t = t.as_py()
-                nodes.append(xxhash.xxh64_intdigest(b" ".join(words_of(t)), SEED))
-                bands.append(minhash.bands(distinct_shingles(t)))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("key"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(bands, schema.field("bands").type)],
-                schema=schema)
-
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), "text").mapInArrow(
-        run, "doc_id long, key long, node long, bands array<long>")
-
-
-def representatives(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` (doc_id, text, any other columns), without all but one row of
-    each group of near copies: the one with the smallest doc_id stays.
-
-    Near copies are texts whose distinct shingles of five words have a Jaccard
-    similarity of 0.8 or more; `minhash` proposes pairs and compares their shingles.
-    Groups are what such pairs connect. Texts equal in words are one group. Null, empty
-    and blank texts are one group too. A row with a null doc_id stays only if its group
-    has no other; of rows equal in doc_id and text one stays. An empty table stays empty.
-    """
-    marked = stored(sketches(docs), "sketches")
-    counted = marked.groupBy("node").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first"), F.first("bands").alias("bands"))
-    distinct = stored(counted, "distinct")
-
-    def texts_of(nodes: DataFrame) -> DataFrame:
-        at = distinct.join(nodes, "node").select("node", F.col("first.doc_id").alias("__id"), F.col("first.key").alias("__key"))
-        on = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.xxhash64("text").eqNullSafe(F.col("__key"))
-        return docs.select("doc_id", "text").join(at.hint("merge"), on).select("node", "text").dropDuplicates(["node"])
-
-    member = minhash.connected(distinct, texts_of, distinct_shingles)
-    group = distinct.join(member, "node", "left").select("node", "n", F.coalesce("root", "node").alias("group"))
-    grouped = spread_join(marked.select("doc_id", "key", "node"), stored(group, "groups"), "node", "doc_id")
-    rows = stored(grouped.groupBy("group", "doc_id", "key").agg(F.count(F.lit(1)).alias("n")), "rows")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "key")).alias("_stay")
-    stays = stored(rows.groupBy("group").agg(first, F.count(F.lit(1)).alias("n")), "stays")
-    same = F.col("doc_id").eqNullSafe(F.col("_stay.doc_id")) & F.col("key").eqNullSafe(F.col("_stay.key"))
-    judged = spread_join(rows.withColumnRenamed("n", "_n"), stays, "group", "doc_id").select(
-        F.col("doc_id").alias("__gone_id"), F.col("key").alias("__gone_key"), "_n", same.alias("_stays"))
-    judged = stored(judged.where("not _stays or _n > 1"), "judged")
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("__gone_id")) & F.xxhash64("text").eqNullSafe(F.col("__gone_key"))
-    # What goes grows with the corpus: one plan for all sizes, in which the documents
-    # meet it once by key. Rows that stay but are repeated are few and apart.
-    once = docs.join(judged.select("__gone_id", "__gone_key").hint("merge"), on, "left_anti")
-    repeated = stored(judged.where("_stays").select("__gone_id", "__gone_key"), "repeated")
-    again = docs.join(repeated, on, "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.unionByName(again)

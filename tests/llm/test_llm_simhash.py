@@ -6,7 +6,7 @@ import xxhash
 from cases import documents, empty
 from pyspark.sql import functions as F
 
-from lexspark.llm import simhash
+from lexspark.llm import neardup, simhash
 from lexspark.llm.common import components
 
 
@@ -154,13 +154,13 @@ def test_representatives(spark):
     rows += [(3000, None), (3001, ""), (3002, " \n"), (None, rows[0][1]), (None, "only here and without any id"), rows[1], rows[1]]
     full = [(d, t, "x", 1) for d, t in rows]
     docs = spark.createDataFrame(full, "doc_id long, text string, fp string, node int")
-    kept = simhash.representatives(docs)
+    kept = neardup.representatives(docs)
     assert kept.columns == docs.columns
     got = sorted((r.doc_id for r in kept.collect()), key=repr)
     want = sorted([*range(30), *range(2000, 2030), 3000, None], key=repr)
     missing, extra = set(want) - set(got), set(got) - set(want)
     assert not missing and len(extra) <= 2 and got.count(None) == 1 and got.count(1) == 1
-    assert simhash.representatives(empty(spark)).collect() == []
+    assert neardup.representatives(empty(spark)).collect() == []
 
 
 @pytest.mark.parametrize("distance", [4, 10])
