@@ -258,6 +258,19 @@ ORACLES["postings_refresh"] = with_(TESIS, UPSERTED) + (
     f"select id_tesis, count(*) as veces, count(distinct tok) as distintos from "
     f"(select id_tesis, unnest(tk) as tok from ({_UP_FIELDS})) group by 1")
 
+
+
+def _tokens_of(rows: str) -> str:
+    """Criteria of a table with the number of their tokens, counted from their texts."""
+    lengths = " + ".join(f"len({tok(c)})" for c in _COLS)
+    return f"select id_tesis, rubro, anio, md5(texto) as texto_md5, nullif({lengths}, 0)::bigint as tokens from {rows}"
+
+
+_FIRST_LOAD = "(select * from incoming where id_tesis like 'p%')"
+ORACLES["ingest_interrupted"] = with_(TESIS, INCOMING) + _tokens_of(_FIRST_LOAD)
+ORACLES["ingest_version"] = ORACLES["ingest_interrupted"]
+ORACLES["ingest_retried"] = with_(TESIS, INCOMING) + _tokens_of("incoming")
+
 _SENTENCES = """qp as materialized (select cast(item_id as varchar) as qid, 0 as concept, ph, txt, 'todo' as scope,
   cast(null as int) as near, 1 as nc, item_id
   from (select item_id, unnest(s) as txt, unnest(range(len(s))) as ph
@@ -419,6 +432,18 @@ ORACLES["facet_all"] = simple(
 ORACLES["corpus_summary"] = simple(
     "select count(*) as total, min(anio) as anio_min, max(anio) as anio_max, "
     "strftime(max(fecha_descarga), '%Y-%m-%d %H:%M:%S') as ultima_descarga from tesis")
+ORACLES["kept_facets"] = with_(TESIS, UPSERTED) + (
+    "select * from (select campo, valor, count(*) as total, "
+    "cast(row_number() over (partition by campo order by count(*) desc, valor) as int) as lugar from ("
+    + " union all ".join(f"select '{c}' as campo, {c} as valor from upserted" for c in _FACETS)
+    + ") where valor <> '' group by 1, 2) where lugar <= 30")
+ORACLES["kept_summary"] = with_(TESIS, UPSERTED) + (
+    "select count(*) as total, min(anio) as anio_min, max(anio) as anio_max from upserted")
+ORACLES["kept_breakdown"] = with_(TESIS, UPSERTED) + (
+    "select dimension, valor, total, cast(row_number() over (partition by dimension order by total desc, valor) as int) "
+    "as lugar from (" + " union all ".join(
+        f"select '{c}' as dimension, {c} as valor, count(*) as total from upserted {w} group by 2"
+        for c, w in (("tipo_tesis", ""), ("instancia", "where instancia <> ''"), ("epoca", "where epoca <> ''"))) + ")")
 ORACLES["describe_last_load"] = with_(TESIS, INCOMING) + (
     "select 0::bigint + (select count(*) from incoming where id_tesis not like 'p%') as nuevas, (select count(*) from benchmark) as errores, "
     "(select count(*) from incoming) as total, 'Completado con ' || (select count(*) from benchmark) || ' error(es) - ' "

@@ -159,6 +159,79 @@ def ingest_streams(spark, sf):
     return _loaded(store)
 
 
+class _Interrupted(Store):
+    """A store whose loads end before the postings are written."""
+
+    def _add(self, df, table, batch, attempt):
+        if table == "postings":
+            raise InterruptedError(table)
+        super()._add(df, table, batch, attempt)
+
+
+def _broken_off(spark, sf, name) -> Store:
+    """All new criteria loaded, and a load of revised ones that ended half-way."""
+    store = _store(spark, sf, name)
+    store.load(inputs.added(spark, sf), 1)
+    try:
+        _Interrupted(spark, store.root, store.mode).load(inputs.replies(spark, sf), 2)
+    except InterruptedError:
+        pass
+    return store
+
+
+def _indexed(store: Store) -> DataFrame:
+    """Each criterion of a store with the number of its tokens in the index."""
+    store = store.now()
+    lengths = store.postings().groupBy("id_tesis").agg(F.sum(F.size("pos")).alias("tokens"))
+    return _loaded(store).join(lengths, "id_tesis", "left")
+
+
+@query
+def ingest_interrupted(spark, sf):
+    """What a reader sees after a load that broke off: the state before it."""
+    return _indexed(_broken_off(spark, sf, "interrupted"))
+
+
+@query
+def ingest_retried(spark, sf):
+    """The same load again: all of it, once."""
+    store = _broken_off(spark, sf, "retried")
+    store.load(inputs.replies(spark, sf), 2)
+    return _indexed(store)
+
+
+@query
+def ingest_version(spark, sf):
+    """The state at the first of two commits."""
+    store = _store(spark, sf, "versions")
+    store.load(inputs.added(spark, sf), 1)
+    store.load(inputs.replies(spark, sf), 2)
+    return _indexed(store.at(1))
+
+
+def _counted(spark, sf) -> DataFrame:
+    """Counts kept by batches that continue the library: new criteria, then replaced ones."""
+    store = Store(spark, inputs.folder(spark, sf, "counted"), UPSERT, library(spark, sf))
+    store.load(inputs.added(spark, sf), 1)
+    store.load(inputs.replies(spark, sf), 2)
+    return store.counts()
+
+
+@query
+def kept_facets(spark, sf):
+    return profile.counted_facets(_counted(spark, sf))
+
+
+@query
+def kept_breakdown(spark, sf):
+    return profile.counted_breakdown(_counted(spark, sf))
+
+
+@query
+def kept_summary(spark, sf):
+    return profile.counted_summary(_counted(spark, sf)).drop("ultima_descarga")
+
+
 @query
 def corpus_layout(spark, sf):
     stored = library(spark, sf).corpus

@@ -114,3 +114,53 @@ def result_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return before.exceptAll(after).withColumn("lado", F.lit("antes")).unionByName(
         after.exceptAll(before).withColumn("lado", F.lit("despues"))
     )
+
+
+# -- kept counts --------------------------------------------------------------
+
+COUNTED = (*FACETS, "anio")
+
+
+def kept_counts(corpus: DataFrame) -> DataFrame:
+    """campo, valor, total, ultima: how often each value of a counted field occurs, in one
+    pass. The field '' counts criteria, and keeps the time at which the last one came."""
+    pairs = ", ".join(f"'{c}', cast({c} as string)" for c in COUNTED)
+    values = corpus.select("fecha_descarga", F.expr(f"stack({len(COUNTED) + 1}, '', '', {pairs}) as (campo, valor)"))
+    last = F.max(F.when(F.col("campo") == "", F.col("fecha_descarga"))).alias("ultima")
+    return values.groupBy("campo", "valor").agg(F.count("*").alias("total"), last)
+
+
+def merged_counts(counts: DataFrame, all_rows: bool = False) -> DataFrame:
+    """The sum of several counts, some of them negative; values that are gone drop out.
+    `ultima` is the time of the last criterion that came, also if it has been replaced."""
+    summed = counts.groupBy("campo", "valor").agg(F.sum("total").alias("total"), F.max("ultima").alias("ultima"))
+    return summed if all_rows else summed.filter("total > 0")
+
+
+def counted_facets(counts: DataFrame, limite: int = 30) -> DataFrame:
+    """facets() from kept counts."""
+    place = F.row_number().over(W.partitionBy("campo").orderBy(F.col("total").desc(), "valor"))
+    shown = counts.filter(F.col("campo").isin(*FACETS) & (F.coalesce("valor", F.lit("")) != ""))
+    return shown.select("campo", "valor", "total").withColumn("lugar", place).filter(F.col("lugar") <= limite)
+
+
+def counted_summary(counts: DataFrame) -> DataFrame:
+    """corpus_summary() from kept counts; years by those that still have criteria."""
+    year = F.when((F.col("campo") == "anio") & (F.col("valor").cast("int") > 0), F.col("valor").cast("int"))
+    return counts.agg(
+        F.coalesce(F.sum(F.when(F.col("campo") == "", F.col("total"))), F.lit(0).cast("long")).alias("total"),
+        F.min(year).alias("anio_min"), F.max(year).alias("anio_max"), F.max("ultima").alias("ultima_descarga"),
+    )
+
+
+def counted_breakdown(counts: DataFrame) -> DataFrame:
+    """corpus_breakdown() from kept counts."""
+    place = F.row_number().over(
+        W.partitionBy("dimension").orderBy(F.col("total").desc(), F.col("valor").asc_nulls_first()))
+    return (
+        counts.filter(F.col("campo").isin("tipo_tesis", "instancia", "epoca"))
+        .select(F.col("campo").alias("dimension"), "valor", "total")
+        .filter((F.col("dimension") == "tipo_tesis") | (F.coalesce("valor", F.lit("")) != ""))
+        .withColumn("lugar", place)
+        .filter((F.col("dimension") != "epoca") | (F.col("lugar") <= EPOCHS_SHOWN))
+    )

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexspark.operators import index
-from lexspark.plans import health
+from lexspark.plans import health, profile
 from lexspark.sources import landing
 from lexspark.sources.schema import LANDED, TESIS
 from lexspark.sources.tables import Library
@@ -170,3 +170,75 @@ def test_health_reports_failures(spark, criteria):
     assert states["claves"] == states["esquema minimo"] == states["busqueda de prueba"] == "fallo"
     assert states["json_completo"] == "info"
     assert not health.verdict(health.health(Library.of(sick))).first().ok
+
+
+class Broken(Store):
+    """Fails before a table is written."""
+
+    def _add(self, df, table, batch, attempt):
+        if table == self.mode_fails:
+            raise InterruptedError(table)
+        super()._add(df, table, batch, attempt)
+
+    def _commit(self, parts, attempt):
+        if self.mode_fails == "commit":
+            raise InterruptedError("commit")
+        super()._commit(parts, attempt)
+
+
+def state(store):
+    now = store.now()
+    return sorted(map(str, now.corpus().collect())), sorted(map(str, now.postings().collect())), sorted(
+        map(str, now.counts().collect())), now.rejects().count(), now.run_log().count()
+
+
+@pytest.mark.parametrize("fails", ["rejects", "corpus", "postings", "counts", "commit"])
+def test_a_batch_appears_whole_or_not_at_all(spark, tmp_path, monkeypatch, fails):
+    monkeypatch.setattr(Broken, "mode_fails", fails, raising=False)
+    store = Store(spark, str(tmp_path), UPSERT)
+    store.load(first(spark), 1)
+    before = state(store)
+    with pytest.raises(InterruptedError):
+        Broken(spark, store.root, UPSERT).load(second(spark), 2)
+    assert state(store) == before
+    with pytest.raises(InterruptedError):  # nor is a batch lost that is loaded again
+        Broken(spark, store.root, UPSERT).load(second(spark), 1)
+    assert state(store) == before
+    store.load(second(spark), 2)
+    assert titles(store) == {"1": "uno amparo", "2": "dos cambiado", "4": "cuatro"}
+    assert state(store.at(1)) == before
+    assert [(r.version, r.batch) for r in store.versions().orderBy("version").collect()] == [(1, 1), (2, 2)]
+
+
+def test_a_reader_keeps_its_state(spark, tmp_path):
+    store = Store(spark, str(tmp_path), UPSERT)
+    assert store.corpus().count() == store.counts().count() == 0
+    store.load(first(spark), 1)
+    held = store.now()
+    lib = held.library()
+    store.load(second(spark), 1)
+    assert titles(store) == {"2": "dos cambiado", "4": "cuatro"}
+    assert titles(held) == {"1": "uno amparo", "2": "dos"}
+    assert {r.tok for r in lib.postings.collect()} == {"uno", "amparo", "dos"}
+
+
+def recounted(store):
+    return sorted(map(str, profile.kept_counts(store.corpus()).drop("ultima").collect()))
+
+
+def test_kept_counts_equal_a_recount(spark, tmp_path, criteria):
+    rows = [{"id_tesis": str(i), "rubro": "r", "epoca": f"e{i % 2}", "anio": 2000 + i} for i in range(6)]
+    base = Library.save(criteria(rows), str(tmp_path / "base"), 2)
+    store = Store(spark, str(tmp_path / "more"), UPSERT, base)
+    a = replies(spark, ("0", {"epoca": "e1", "anio": 1990}), ("5", {"epoca": "e9"}), ("n", {"anio": 2050}))
+    b = replies(spark, ("n", {"anio": 2001, "tipoTesis": "Jurisprudencia"}), ("0", {"epoca": "e2"}))
+    for load, batch in ((a, 1), (b, 2), (b, 1), (a, 2), (a, 1)):
+        store.load(load, batch)  # also in place of a batch that later ones build upon
+        counts = store.counts()
+        assert sorted(map(str, counts.drop("ultima").collect())) == recounted(store)
+        summary, want = profile.counted_summary(counts).first(), profile.corpus_summary(store.corpus()).first()
+        # The last criterion that came may be of a batch that later ones replace.
+        assert summary[:3] == want[:3] and summary.ultima_descarga >= want.ultima_descarga
+    for kept, fresh in ((profile.counted_facets(counts), profile.facets(store.corpus())),
+                        (profile.counted_breakdown(counts), profile.corpus_breakdown(store.corpus()))):
+        assert sorted(map(str, kept.collect())) == sorted(map(str, fresh.collect()))
