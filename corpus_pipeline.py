@@ -31,31 +31,57 @@ def _back(found: DataFrame, docs: DataFrame, names: list[str]) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learned languages; a missing lang is filled in."""
+    """Documents in one of the learned languages; a missing lang is filled in.
+
+    Null, empty and letterless texts have no language and go. Repeated rows and rows
+    with a null doc_id are judged like others (the latter teach nothing); other columns
+    are handed through, whatever their names. An empty table stays empty; ValueError if
+    documents have letters but no labelled one teaches a language.
+    """
     names = ["doc_id", "text", "lang"]
     model = langmix.train(docs.where(~langmix.held_out() & F.col("doc_id").isNotNull()))
+    if not model.languages and not docs.where(F.col("text").rlike(r"\p{L}")).isEmpty():
+        raise ValueError("no document with a lang and a text to learn languages from")
     found = langmix.predict(_aside(docs, names), model)
     good = found.where((F.col("lang_pred") != langmix.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
     return _back(good.withColumn("lang", F.coalesce("lang", "lang_pred")), docs, names)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass, with their failed lines removed."""
+    """Documents that pass, with their failed lines removed.
+
+    Null and empty texts fail. Each row is judged by itself, so ties, repeated rows and
+    null ids need no rule; other columns are handed through; an empty table stays empty.
+    """
     return _back(linefirst.clean(_aside(docs, ["doc_id", "text"])).where("kept"), docs, ["doc_id", "text"])
 
 
 def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents without the lines that many of them share."""
+    """All documents without the lines that many of them share.
+
+    A null text becomes an empty one. Every row counts as a document, also if rows share
+    an id or are equal; a document that loses all lines stays with an empty text. Other
+    columns are handed through; an empty table stays empty.
+    """
     return _back(linededup.dedup(_aside(docs, ["doc_id", "text"])), docs, ["doc_id", "text"])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, the one with the smallest doc_id.
+
+    Null, empty and blank texts are one group. A null doc_id stays only without another
+    one in its group; of equal rows one stays. Other columns are handed through; an empty
+    table stays empty.
+    """
     return neardup.representatives(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in their windows."""
+    """The pieces of all documents in their windows.
+
+    A null or empty text is the end id alone, a null doc_id stays null, equal rows are
+    documents of their own; other columns are not read; an empty table gives no piece.
+    """
     return tiers.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), added=True)
 
 

@@ -24,6 +24,8 @@ SMOOTHING = 0.5
 PENALTY = 6.0
 ROUNDS = 30
 UNKNOWN = "und"
+#: Languages that can be learned at most: their counts lie in one table of every task.
+MOST_LANGUAGES = 512
 
 _letters: np.ndarray | None = None
 
@@ -109,7 +111,8 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def train(docs: DataFrame) -> Model:
     """Counts n-grams of all `docs` (text, lang) with a language; null languages and
     texts without a letter teach nothing, and an empty table teaches no language.
-    The driver gets one row per language and cell."""
+    The driver gets one row per language and cell; more than MOST_LANGUAGES distinct
+    values of lang raise ValueError before anything is collected."""
     schema = pa.schema([("lang", pa.string()), ("cell", pa.int32()), ("n", pa.int64())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,6 +129,9 @@ def train(docs: DataFrame) -> Model:
                 [pa.array([lang] * len(cells)), pa.array(cells.astype(np.int32)), pa.array(counts[cells])], schema=schema)
 
     known = docs.select("text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    values = docs.select("lang").where(F.col("lang").isNotNull()).distinct().limit(MOST_LANGUAGES + 1).count()
+    if values > MOST_LANGUAGES:
+        raise ValueError(f"lang has more than {MOST_LANGUAGES} values")
     table = known.mapInArrow(run, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
     names, of = np.unique(np.array(table.column("lang").to_pylist(), object).astype(str), return_inverse=True)
     counts = np.full((CELLS, len(names)), SMOOTHING)

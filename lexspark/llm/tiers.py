@@ -83,23 +83,31 @@ class Packer:
         return None
 
     def _pack(self) -> None:
-        """Fill windows tier by tier, the longest first, until the pieces that wait
-        do not fill another one of their tier."""
-        for tier in reversed(self.tiers):
-            below = [t for t in self.tiers if t <= tier]
-            while self.pool[tier] and sum(p[0] for t in below for p in self.pool[t][:tier]) >= tier:
-                window = [self._take(tier, len(self.pool[tier]) - 1)]
-                gap = tier - window[0][0]
-                while gap:
-                    piece = self._fitting(gap, tier)
-                    if piece is None:  # all are longer: cut the shortest, its rest goes to its own tier
-                        least = next(t for t in below if self.pool[t])
-                        self.numbers += 1
-                        piece, rest = _cut(self._take(least, 0), gap, self.numbers)
-                        self._route(rest)
-                    window.append(piece)
-                    gap -= piece[0]
-                self._finish(tier, window)
+        """Fill windows tier by tier, the shortest first, until the pieces that wait do
+        not fill another one of their tier. So gaps of a longer tier get what the shorter
+        ones cannot fill windows with themselves; rests of cut pieces go back to theirs."""
+        made = True
+        while made:
+            made = False
+            for tier in self.tiers:
+                below = [t for t in self.tiers if t <= tier]
+                while self.pool[tier] and sum(p[0] for t in below for p in self.pool[t][:tier]) >= tier:
+                    self._window(tier, below)
+                    made = True
+
+    def _window(self, tier: int, below: list[int]) -> None:
+        window = [self._take(tier, len(self.pool[tier]) - 1)]
+        gap = tier - window[0][0]
+        while gap:
+            piece = self._fitting(gap, tier)
+            if piece is None:  # all are longer: cut the shortest, its rest goes to its own tier
+                least = next(t for t in below if self.pool[t])
+                self.numbers += 1
+                piece, rest = _cut(self._take(least, 0), gap, self.numbers)
+                self._route(rest)
+            window.append(piece)
+            gap -= piece[0]
+        self._finish(tier, window)
 
     def close(self) -> None:
         """Pack all that waits; the last tokens become windows of powers of two."""

@@ -150,3 +150,9 @@ def test_same_rows_same_numbers(spark):
     docs = spark.createDataFrame(list(enumerate(texts(4))), "doc_id long, text string").coalesce(2)
     one, two = (sorted(map(tuple, tiers.pack(docs, PATH).collect()), key=repr) for _ in range(2))
     assert one == two and len({zlib.crc32(repr(x).encode()) for x in one}) > 1
+
+
+def test_all_tiers_come_out_of_the_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sizes = [r.window for r in tiers.pack(docs, PATH).select("sequence_id", "window").distinct().collect()]
+    assert all(sizes.count(t) >= 10 for t in tiers.TIERS), {t: sizes.count(t) for t in tiers.TIERS}

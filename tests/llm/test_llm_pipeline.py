@@ -102,12 +102,17 @@ def test_empty_and_odd_tables(spark):
     docs = empty(spark)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).collect() == []
-    odd = spark.createDataFrame(
-        [(1, None, None, None, None, 1.0, "a"), (2, "", "en", "s", 0, 2.0, "b"), (None, "the words of a text. " * 30, "en", "s", 1, 3.0, "c"),
-         (3, "one two three four five six seven eight nine ten. " * 3 + "\n" + "\n".join(f"Line {i} is not like line {i * 7} at all." for i in range(30)),
-          None, "s", 1, 4.0, "d")] * 2,
-        "doc_id long, text string, lang string, source string, n_chars long, score double, node string")
+    prose = [" ".join(f"{w}{i * k % 97}x{k}" for k, w in enumerate(["river", "house", "morning", "letter"] * 20)) + "." for i in range(3)]
+    prose = ["\n".join(" ".join(p.split()[at:at + 10]) + "." for at in range(0, 80, 10)) for p in prose]
+    rows = [(1, None, None, None, None, 1.0, "a"), (2, "", "en", "s", 0, 2.0, "b"), (None, "the words of a text. " * 30, "en", "s", 1, 3.0, "c"),
+            (3, prose[0], None, "s", 1, 4.0, "d"), (4, prose[1], "en", "s", 1, 5.0, "e"), (None, prose[2], None, "s", 1, 6.0, "f"),
+            (9, prose[1] + "\nHome | News | Sports | About", "en", "s", 1, 7.0, "g")]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, score double, node string"
+    odd = spark.createDataFrame(rows * 2, kind)
     for name, stage in corpus_pipeline.STAGES[:-1]:
         odd = stored(stage(spark, odd, SF), name)
         assert odd.columns == ["doc_id", "text", "lang", "source", "n_chars", "score", "node"]
-    assert [(r.doc_id, r.score, r.node) for r in odd.collect()] == [(3, 4.0, "d")]
+    left = sorted(((r.doc_id, r.score, r.node, r.lang) for r in odd.collect()), key=repr)
+    assert left == [(3, 4.0, "d", "en"), (4, 5.0, "e", "en"), (None, 6.0, "f", "en")]
+    with pytest.raises(ValueError, match="to learn languages from"):
+        corpus_pipeline.language(spark, spark.createDataFrame([(1, "some words", None, "s", 1, 1.0, "a")], kind), SF)

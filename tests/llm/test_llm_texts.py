@@ -149,7 +149,16 @@ def test_counts_against_brute_force(spark):
     assert linefirst.clean(empty(spark)).collect() == []
 
 
-PROSE = [f"Every morning number {i} the miller walks down to river {i}, and back home in the evening." for i in range(8)]
+PROSE = [
+    "Every morning the miller walks down to the river, and comes back home when bells ring.",
+    "His daughter keeps two goats; nobody in our village has ever counted more than that.",
+    "When snow covers these hills, an old road between both farms disappears for weeks.",
+    "She reads letters aloud, slowly, because grandfather lost his glasses near Lisbon.",
+    "Some say it was raining. Others remember only wind, dust and a broken umbrella.",
+    "We bought bread, cheese, three pears and one bottle of cider before leaving town.",
+    "A train passed at noon without stopping, though several people waved their hats.",
+    "By evening all lamps were lit, music started, and strangers danced until midnight.",
+]
 
 
 @pytest.mark.parametrize("lines,left,kept", [
@@ -169,3 +178,12 @@ def test_lines(lines, left, kept):
 def test_many_different_words():
     words = [f"w{i}".encode() for i in range(3000)] + [b"w5", b"w6", b"w7"]
     assert linefirst.repeated_words(words) == 6
+
+
+def test_too_many_languages_are_told(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "a text", f"l{i}") for i in range(6)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(langmix, "MOST_LANGUAGES", 6)
+    assert len(langmix.train(docs).languages) == 6
+    monkeypatch.setattr(langmix, "MOST_LANGUAGES", 5)
+    with pytest.raises(ValueError, match="more than 5"):
+        langmix.train(docs)
