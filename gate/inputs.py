@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from lexspark.functions.text import keywords
 from lexspark.session import shared_dir
 from lexspark.sources.derived import derived_corpus
+from lexspark.sources.segments import Segments
 from lexspark.sources.tables import Library
 
+SEGMENT_BUCKETS = 16
+_segments: dict[tuple[str, str], Segments] = {}
 _libraries: dict[tuple[str, str], Library] = {}
 
 
@@ -34,6 +37,15 @@ def library(spark: SparkSession, sf_dir: str) -> Library:
     return _libraries[key]
 
 
+def segments(spark: SparkSession, sf_dir: str) -> Segments:
+    """The library's index in segments, made on first use; its first version is the base."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _segments:
+        lib = library(spark, sf_dir)
+        _segments[key] = Segments.create(lib.corpus, folder(spark, sf_dir, "segments"), SEGMENT_BUCKETS, lib.postings)
+    return _segments[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

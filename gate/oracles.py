@@ -257,7 +257,20 @@ _UP_FIELDS = " union all ".join(f"select id_tesis, {tok(c)} as tk from upserted"
 ORACLES["postings_refresh"] = with_(TESIS, UPSERTED) + (
     f"select id_tesis, count(*) as veces, count(distinct tok) as distintos from "
     f"(select id_tesis, unnest(tk) as tok from ({_UP_FIELDS})) group by 1")
-
+ORACLES["postings_removed"] = indexed(
+    "select id_tesis, count(*) as veces, count(distinct tok) as distintos from post "
+    "where id_tesis not in (select cast(doc_id as varchar) from labels) group by 1")
+_UP_COLS = " union all ".join(f"select id_tesis, '{c}' as col, {tok(c)} as tk from upserted" for c in _COLS)
+ORACLES["refreshed_terms"] = with_(TESIS, UPSERTED) + (
+    "select tok, count(distinct id_tesis) as df, count(distinct case when col = 'rubro' then id_tesis end) as df_rubro, "
+    "count(distinct case when col = 'texto' then id_tesis end) as df_texto "
+    f"from (select id_tesis, col, unnest(tk) as tok from ({_UP_COLS})) group by 1")
+_BUCKET16 = "cast(cast('0x' || substr(md5(id_tesis), 1, 7) as bigint) % 16 as int)"
+ORACLES["refresh_segments"] = with_(TESIS, UPSERTED) + f"""
+select u.bucket, i.listed, u.docs, u.tokens from
+  (select {_BUCKET16} as bucket, count(*) as docs,
+     cast(sum({" + ".join(f"len({tok(c)})" for c in _COLS)}) as bigint) as tokens from upserted group by 1) u
+  join (select {_BUCKET16} as bucket, count(*) as listed from incoming group by 1) i on i.bucket = u.bucket"""
 
 
 def _tokens_of(rows: str) -> str:

@@ -26,6 +26,7 @@ from lexspark.plans.similar import similar_batch as similar_to
 from lexspark.session import durable
 from lexspark.sources import landing
 from lexspark.sources.derived import derived_corpus
+from lexspark.sources.segments import Segments
 from lexspark.streaming.refresh import UPSERT, Store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -273,14 +274,47 @@ def term_stats(spark, sf):
     return library(spark, sf).term_stats
 
 
-@query
-def postings_refresh(spark, sf):
-    changed = landing.normalized(inputs.replies(spark, sf))
-    posts = index.refresh_postings(library(spark, sf).postings, changed)
+def _refreshed(spark, sf) -> Segments:
+    """The index in segments after the landed criteria came in, as deltas on its base."""
+    base = inputs.segments(spark, sf)
+    return base.at(base.refresh(landing.normalized(inputs.replies(spark, sf))))
+
+
+def _per_document(posts: DataFrame) -> DataFrame:
     return posts.groupBy("id_tesis").agg(
         F.sum(F.size("pos")).alias("veces"), F.countDistinct("tok").alias("distintos"))
 
 
+@query
+def postings_refresh(spark, sf):
+    return _per_document(_refreshed(spark, sf).postings())
+
+
+@query
+def postings_removed(spark, sf):
+    """Every labelled criterion leaves the index again, then the heavy buckets are folded."""
+    lib, root = library(spark, sf), inputs.folder(spark, sf, "removed")
+    index_ = Segments.create(lib.corpus, root, inputs.SEGMENT_BUCKETS, lib.postings)
+    labelled = inputs.table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("id_tesis"))
+    index_.refresh(lib.corpus.limit(0), labelled)
+    index_.fold()
+    return _per_document(index_.postings())
+
+
+@query
+def refreshed_terms(spark, sf):
+    """Term statistics after a refresh, corrected by what went and what came."""
+    return _refreshed(spark, sf).term_stats()
+
+
+@query
+def refresh_segments(spark, sf):
+    """What a refresh added to each bucket, and what the bucket holds now."""
+    refreshed = _refreshed(spark, sf)
+    return refreshed.segments().where(F.col("version") == refreshed.version).select(
+        "bucket", "listed", "docs", "tokens")
+
+
 @query
 def query_terms(spark, sf):
     terms = match.query_terms(search.completed(inputs.passages(spark, sf)))
@@ -722,7 +756,7 @@ def health_verdict(spark, sf):
 
 @query
 def health_drift(spark, sf):
-    return checks.drift(_upserted(spark, sf), library(spark, sf).doc_stats)
+    return checks.segment_drift(_upserted(spark, sf), inputs.segments(spark, sf).at(1))
 
 
 @query

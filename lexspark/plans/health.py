@@ -12,8 +12,9 @@ from lexspark.operators import match
 from lexspark.operators.index import content_hash
 from lexspark.operators.match import Lookups
 from lexspark.plans.search import query_table
-from lexspark.session import local_table
+from lexspark.session import durable, local_table
 from lexspark.sources.schema import TESIS
+from lexspark.sources.segments import Segments, bucket_of
 from lexspark.sources.tables import Library
 
 LEFTOVER = "json_completo"
@@ -61,7 +62,12 @@ def check_keys(corpus: DataFrame) -> DataFrame:
 
 def drift(corpus: DataFrame, doc_stats: DataFrame) -> DataFrame:
     """Documents that index and corpus do not agree on, and how."""
-    now = corpus.select("id_tesis", content_hash().alias("now"))
+    return drift_of_hashes(corpus.select("id_tesis", content_hash().alias("content_hash")), doc_stats)
+
+
+def drift_of_hashes(hashed: DataFrame, doc_stats: DataFrame) -> DataFrame:
+    """The same for criteria whose content is hashed already."""
+    now = hashed.select("id_tesis", F.col("content_hash").alias("now"))
     indexed = doc_stats.select("id_tesis", F.col("content_hash").alias("then"))
     kind = (
         F.when(F.col("then").isNull(), "sin indexar")
@@ -74,6 +80,20 @@ def drift(corpus: DataFrame, doc_stats: DataFrame) -> DataFrame:
     )
 
 
+def segment_drift(corpus: DataFrame, segments: Segments) -> DataFrame:
+    """The same against an index in segments: checksums of buckets first, then the lists of
+    the buckets that differ; the others are not read.
+
+    Texts are read once, to be hashed; an id and a hash are kept of each. Ids are taken
+    as unique (`key_problems` finds others).
+    """
+    hashed = durable(corpus.select(
+        "id_tesis", content_hash().alias("content_hash"), bucket_of(F.col("id_tesis"), segments.buckets).alias("bucket")))
+    buckets = segments.differing(hashed)
+    wanted = F.col("bucket").isin(buckets) | F.col("bucket").isNull()
+    return drift_of_hashes(hashed.where(wanted), segments.docs(buckets))
+
+
 def check_drift(lib: Library) -> DataFrame:
     return drift(lib.corpus, lib.doc_stats).agg(F.count("*").alias("n")).select(
         *_row("corpus e indice iguales", F.col("n") == 0,
