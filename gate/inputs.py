@@ -33,7 +33,7 @@ def library(spark: SparkSession, sf_dir: str) -> Library:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _libraries:
         root = folder(spark, sf_dir, "library")
-        _libraries[key] = Library.save(derived_corpus(spark, sf_dir), root, buckets(spark))
+        _libraries[key] = Library.save(derived_corpus(spark, sf_dir), root, buckets(spark), pieces=True)
     return _libraries[key]
 
 

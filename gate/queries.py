@@ -377,14 +377,12 @@ def match_bag(spark, sf):
 
 @query
 def scan_or(spark, sf):
-    return library(spark, sf).corpus.filter(
-        match.scan_condition([["ción de", "nicht"]])).select("id_tesis")
+    return search.scanned(library(spark, sf), [["ción de", "nicht"]]).select("id_tesis")
 
 
 @query
 def scan_and(spark, sf):
-    return library(spark, sf).corpus.filter(
-        match.scan_condition([["mente", "nicht"], ["die", "la "]])).select("id_tesis")
+    return search.scanned(library(spark, sf), [["mente", "nicht"], ["die", "la "]]).select("id_tesis")
 
 
 @query

@@ -317,9 +317,12 @@ def mentions_contradiction() -> Column:
     return reduce(lambda a, b: a | b, columns)
 
 
+SCANNED = {"todo": ("texto", "rubro"), "texto": ("texto",), "rubro": ("rubro",)}
+
+
 def scan_condition(concepts: list[list[str]], scope: str = "todo") -> Column:
     """Every concept has a term that occurs as a substring of title or body."""
-    columns = {"todo": ("texto", "rubro"), "texto": ("texto",), "rubro": ("rubro",)}[scope]
+    columns = SCANNED[scope]
 
     def has(term: str) -> Column:
         tests = [contains_folded(F.col(c), F.lit(term.strip())) for c in columns]

@@ -25,7 +25,7 @@ from lexspark.operators.match import Lookups
 from lexspark.operators.snippet import snippets
 from lexspark.session import durable, local_table, small_rows
 from lexspark.sources.schema import QUERY
-from lexspark.sources.tables import Library, rows_of
+from lexspark.sources.tables import Library, containing, rows_of
 
 SCOPES = ("todo", "rubro", "texto")
 DEFAULTS = {
@@ -137,10 +137,17 @@ def ranked_batch(lib: Library, queries: DataFrame, lookups: Lookups) -> DataFram
     return _listed(rows, F.col("orden"), F.col("limite"))
 
 
+def scanned(lib: Library, concepts: list[list[str]], scope: str = "todo") -> DataFrame:
+    """Criteria that hold a term of every concept as a substring. With an index of pieces
+    only the criteria that it proposes are read and tested."""
+    terms = [[term.strip() for term in concept] for concept in concepts]
+    return containing(lib, terms, match.SCANNED[scope]).filter(match.scan_condition(concepts, scope))
+
+
 def ranked_scan(lib: Library, concepts: list[list[str]], scope: str, f: Filters, order: str,
                 limit: int, extra: Column | None = None) -> DataFrame:
     """The same without the index: substring tests in one pass over the corpus."""
-    rows = flt.apply_filters(lib.corpus, f).filter(match.scan_condition(concepts, scope))
+    rows = flt.apply_filters(scanned(lib, concepts, scope), f)
     if extra is not None:
         rows = rows.filter(extra)
     if order in (rank.BY_SCORE, rank.BY_SIMILARITY):

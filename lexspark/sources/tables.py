@@ -14,18 +14,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspark.functions.text import fold
-from lexspark.operators import index
-from lexspark.session import one_of, small_rows
+from lexspark.operators import index, substrings
+from lexspark.session import durable, one_of, small_rows
 
 PARTITION = "epoca_part"
 # Layout of a saved library; a reader refuses another version.
 VERSION = 2
-MANIFEST = "version int, buckets int"
+MANIFEST = "version int, buckets int, pieces boolean"
 _TABLES = {
     # table: (sort columns, partitioned)
     "corpus": (("anio", "id_tesis"), True),
     "postings": (("tok", "id_tesis"), False),
     "doc_stats": (("id_tesis",), False),
+    "pieces": (("piece", "campo", "id_tesis"), False),
+}
+# Columns of the index tables, which may have no file; the corpus may have columns of its own.
+_COLUMNS = {
+    "postings": "id_tesis string, dl int, col string, tok string, pos array<int>",
+    "doc_stats": "id_tesis string, dl int, content_hash bigint",
+    "pieces": "id_tesis string, campo string, piece string",
 }
 
 
@@ -38,6 +45,7 @@ class Library:
     doc_stats: DataFrame
     term_stats: DataFrame
     corpus_stats: DataFrame
+    pieces: DataFrame | None = None  # for substrings; a library can do without
 
     @cached_property
     def size(self) -> tuple[int, float]:
@@ -53,8 +61,10 @@ class Library:
         return Library(corpus, posts, stats, index.term_stats(posts), index.corpus_stats(stats))
 
     @staticmethod
-    def save(corpus: DataFrame, root: str, buckets: int) -> "Library":
-        """Write corpus and index under `root`. Aim for buckets of a few GB."""
+    def save(corpus: DataFrame, root: str, buckets: int, pieces: bool = False) -> "Library":
+        """Write corpus and index under `root`. Aim for buckets of a few GB. With `pieces`
+        substrings are indexed, too: scans and reading by part of a code or title then
+        read few criteria."""
         spark = corpus.sparkSession
         write_corpus(corpus, root, buckets)
         stored = spark.table(_name(root, "corpus")).drop(PARTITION)
@@ -70,7 +80,9 @@ class Library:
             index.corpus_stats(spark.table(_name(root, "doc_stats")))
             .coalesce(1).write.mode("overwrite").parquet(f"{root}/corpus_stats")
         )
-        layout = spark.createDataFrame([(VERSION, buckets)], MANIFEST)
+        if pieces:
+            _write(substrings.pieces(stored), root, "pieces", buckets)
+        layout = spark.createDataFrame([(VERSION, buckets, pieces)], MANIFEST)
         layout.coalesce(1).write.mode("overwrite").json(f"{root}/manifest")
         return Library.open(spark, root)
 
@@ -81,7 +93,8 @@ class Library:
         layout = spark.read.schema(MANIFEST).json(f"{root}/manifest").first()
         if layout is None or layout.version != VERSION:
             raise ValueError(f"{root}: no library of version {VERSION}")
-        for table in _TABLES:
+        tables = [t for t in _TABLES if t != "pieces" or layout.pieces]
+        for table in tables:
             _register(spark, root, table, layout.buckets)
         return Library(
             spark.table(_name(root, "corpus")),
@@ -89,6 +102,7 @@ class Library:
             spark.table(_name(root, "doc_stats")),
             spark.read.parquet(f"{root}/term_stats"),
             spark.read.parquet(f"{root}/corpus_stats"),
+            spark.table(_name(root, "pieces")) if "pieces" in tables else None,
         )
 
 
@@ -104,6 +118,13 @@ def rows_of(table: DataFrame, wanted: DataFrame) -> DataFrame:
     return table.filter(one_of("id_tesis", [r.id_tesis for r in ids if r.id_tesis is not None]))
 
 
+def containing(lib: Library, concepts: list[list[str]], columns: tuple[str, ...]) -> DataFrame:
+    """The criteria to which a substring test of these terms has still to be applied: those
+    that the pieces propose, or all of them if the library has no pieces."""
+    ids = None if lib.pieces is None else substrings.proposed(lib.pieces, concepts, columns)
+    return lib.corpus if ids is None else rows_of(lib.corpus, durable(ids))
+
+
 def write_corpus(corpus: DataFrame, root: str, buckets: int) -> None:
     """Corpus partitioned by epoch, bucketed by id, sorted by year and id inside a file.
 
@@ -137,8 +158,8 @@ def _register(spark: SparkSession, root: str, table: str, buckets: int) -> None:
     name = _name(root, table)
     spark.sql(f"DROP TABLE IF EXISTS {name}")
     sort, partitioned = _TABLES[table]
-    schema = spark.read.parquet(f"{root}/{table}").schema
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    columns = _COLUMNS.get(table) or ", ".join(
+        f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(f"{root}/{table}").schema)
     spark.sql(
         f"CREATE TABLE {name} ({columns}) USING parquet "
         + (f"PARTITIONED BY ({PARTITION}) " if partitioned else "")
