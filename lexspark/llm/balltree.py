@@ -19,6 +19,7 @@ LEAF = 64
 CELLS = 256
 #: Cells follow centres fitted on at most this many vectors; every vector is indexed.
 FIT_ROWS = 4096
+LEAST = -2 ** 63
 
 
 def usable(vectors: DataFrame, scale: int = 64) -> DataFrame:
@@ -38,11 +39,16 @@ def usable(vectors: DataFrame, scale: int = 64) -> DataFrame:
 
 class BallTree:
     """Balls over rows sorted by tree position: `begin:end`, centre, radius, and the
-    smallest id inside, which decides among equal scores."""
+    smallest id inside, which decides among equal scores.
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray, k: int = K, leaf: int = LEAF):
+    `whole`: the rows as 64-bit integers, where doubles are too short for their scores;
+    the balls and their bounds stay in doubles.
+    """
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, k: int = K, leaf: int = LEAF, whole: np.ndarray | None = None):
         order, self.k = np.argsort(ids, kind="stable"), k
         self.ids, self.rows = ids[order], rows[order]
+        self.whole = None if whole is None else whole[order]
         self.begin, self.end, self.centre, self.radius, self.least, self.child = [], [], [], [], [], []
         if len(ids):
             self._ball(0, len(ids), leaf)
@@ -58,7 +64,9 @@ class BallTree:
         self.radius.append(float(np.sqrt(away.max())))
         self.least.append(int(self.ids[begin:end].min()))
         self.child.append(None)
-        if away.max() == 0:
+        # Integers that doubles cannot tell apart are told apart here.
+        same = away.max() == 0 and (self.whole is None or (self.whole[begin:end] == self.whole[begin]).all())
+        if same:
             # Equal rows stand in the order of their ids: the others cannot be results.
             self.end[me] = min(end, begin + self.k + 1)
         elif end - begin > leaf:
@@ -67,21 +75,29 @@ class BallTree:
             other = rows[int(((rows - far) ** 2).sum(1).argmax())]
             side = np.argsort(rows @ (far - other), kind="stable")
             self.rows[begin:end], self.ids[begin:end] = rows[side], self.ids[begin:end][side]
+            if self.whole is not None:
+                self.whole[begin:end] = self.whole[begin:end][side]
             middle = (begin + end) // 2
             self.child[me] = self._ball(begin, middle, leaf), self._ball(middle, end, leaf)
         return me
 
-    def search(self, ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    def search(self, ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int,
+               whole: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
         """(query position, vec_id, score) of up to k rows per query with a score of at
         least `floor`, the query's own id left out.
 
         Balls are taken in the order of their greatest bound over the block; a ball is
-        entered by the queries whose bound reaches their current k-th score.
+        entered by the queries whose bound reaches their current k-th score. `whole`: the
+        queries as integers, for a tree that has its rows so.
         """
         n = len(queries)
-        best = np.full((n, k), -np.inf)
+        exact = self.whole is not None
+        rows_, queries_ = (self.whole, whole) if exact else (self.rows, queries)
+        none = LEAST if exact else -np.inf
+        best = np.full((n, k), none, np.int64 if exact else np.float64)
         best_id = np.full((n, k), np.iinfo(np.int64).max)
-        kth = floor.astype(np.float64)
+        # A floor that a double rounded up must not lose its ties.
+        kth = np.array([max(LEAST, int(np.nextafter(f, -np.inf))) for f in floor], np.int64) if exact else floor.astype(np.float64)
         if not n or not len(self.rows):
             return np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0)
         norm = np.sqrt((queries ** 2).sum(1))
@@ -100,39 +116,41 @@ class BallTree:
                 continue
             for at in range(self.begin[ball], self.end[ball], LEAF):
                 rows = slice(at, min(self.end[ball], at + LEAF))
-                score = queries[go] @ self.rows[rows].T
-                score[ids[go][:, None] == self.ids[rows][None, :]] = -np.inf
-                score[score < kth[go][:, None]] = -np.inf
-                some = score.max(1) > -np.inf
+                score = queries_[go] @ rows_[rows].T
+                score[ids[go][:, None] == self.ids[rows][None, :]] = none
+                score[score < kth[go][:, None]] = none
+                some = score.max(1) > none
                 if not some.any():
                     continue
                 who = go[some]
                 all_score = np.concatenate([best[who], score[some]], 1)
                 all_id = np.concatenate([best_id[who], np.broadcast_to(self.ids[rows], score[some].shape)], 1)
-                all_id = np.where(all_score > -np.inf, all_id, np.iinfo(np.int64).max)
-                order = np.lexsort((all_id, -all_score))[:, :k]
+                all_id = np.where(all_score > none, all_id, np.iinfo(np.int64).max)
+                order = np.lexsort((all_id, ~all_score if exact else -all_score))[:, :k]
                 best[who] = np.take_along_axis(all_score, order, 1)
                 best_id[who] = np.take_along_axis(all_id, order, 1)
                 kth[who] = np.maximum(kth[who], best[who, -1])
-        query, place = np.nonzero(best > -np.inf)
+        query, place = np.nonzero(best > none)
         return query, best_id[query, place], best[query, place]
 
 
-def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
-    """Vectors as doubles, shorter ones filled with zeros."""
+def _matrix(column: pa.ChunkedArray, dim: int, kind: type = np.float64) -> np.ndarray:
+    """Vectors as doubles, or integers, shorter ones filled with zeros."""
     lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat, sizes = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
     if len(sizes) and (sizes == dim).all():
-        rows = flat.reshape(-1, dim).astype(np.float64)
+        rows = flat.reshape(-1, dim).astype(kind)
     else:
-        rows = np.zeros((len(sizes), dim))
+        rows = np.zeros((len(sizes), dim), kind)
         rows[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
-    # Sums of products stay exact below 2**53.
-    if len(flat) and float(np.abs(rows).max()) ** 2 * max(dim, 1) >= 2 ** 53:
-        raise ValueError("components too large for exact scores")
     return rows
 
 
+def _greatest(rows: np.ndarray, queries: np.ndarray) -> float:
+    """Bound on the size of an inner product."""
+    return float(np.abs(rows).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(rows.shape[1], 1)
+
+
 def _centres(vectors: DataFrame, dim: int, wanted: int) -> np.ndarray:
     """Up to CELLS centres, by a few rounds of k-means on at most FIT_ROWS vectors."""
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(FIT_ROWS, 64 * wanted)).collect()
@@ -180,8 +198,9 @@ def _bounds(queries: DataFrame, centres: np.ndarray, cells: dict[int, tuple[floa
             ids = b.column("vec_id").to_numpy(zero_copy_only=False)
             for at in range(0, len(ids), 1024):
                 q = _matrix(b.column("v").slice(at, 1024), dim)
-                bound = q @ centre.T + np.outer(np.sqrt((q ** 2).sum(1)), radius)
-                bound += 1e-6 * (1 + np.abs(bound))
+                norm = np.sqrt((q ** 2).sum(1))
+                bound = q @ centre.T + np.outer(norm, radius)
+                bound += 1e-6 * (1 + np.abs(bound)) + 1e-9 * np.outer(norm, radius + np.sqrt((centre ** 2).sum(1)))
                 home = np.arange(len(numbers)) == bound.argmax(1)[:, None]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.repeat(ids[at: at + 1024], len(numbers))), pa.array(np.tile(np.array(numbers, np.int32), len(q))),
@@ -207,8 +226,15 @@ def _search(shards: DataFrame, asked: DataFrame, queries: DataFrame, dim: int, k
 
     def run(asked_: pa.Table, rows: pa.Table) -> pa.Table:
         ids = asked_.column("query_id").to_numpy()
-        tree = BallTree(rows.column("vec_id").to_numpy(), _matrix(rows.column("v"), dim), k)
-        at, found, score = tree.search(ids, _matrix(asked_.column("q"), dim), asked_.column("floor").to_numpy(), k)
+        v, q = _matrix(rows.column("v"), dim), _matrix(asked_.column("q"), dim)
+        # Sums of products are exact in doubles below 2**53, and a score is a long.
+        greatest = _greatest(v, q)
+        if greatest >= 2 ** 63:
+            raise ValueError("components too large: an inner product may exceed a long")
+        large = greatest >= 2 ** 53
+        tree = BallTree(rows.column("vec_id").to_numpy(), v, k, whole=_matrix(rows.column("v"), dim, np.int64) if large else None)
+        at, found, score = tree.search(ids, q, asked_.column("floor").to_numpy(), k,
+                                       _matrix(asked_.column("q"), dim, np.int64) if large else None)
         return pa.table({"query_id": ids[at], "vec_id": found, "score": score.astype(np.int64)})
 
     key = [*key, "block"]
@@ -230,7 +256,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, shard_rows: int =
     `shard_rows`. A query first searches one shard of the cell with the highest
     bound; its k-th score there is shared with all other shards, and it enters only
     those whose bound reaches it. Inside a shard a ball tree goes on the same way.
-    Fewer candidates give fewer rows, none give none; a vec_id with several vectors
+    Scores are computed in doubles where these are exact, else in 64-bit integers; a
+    shard and a block whose scores might exceed a long fail the job. Fewer candidates give fewer rows, none give none; a vec_id with several vectors
     appears once for each score, a query_id with several is answered by their best
     scores. Shorter vectors count as filled up with zeros. The driver holds one row
     per cell, CELLS at most.
@@ -249,7 +276,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, shard_rows: int =
     shards = placed.withColumn("sub", F.pmod(F.xxhash64("vec_id"), subs))
     bounds = stored(_bounds(queries, centres, cells, dim), "bounds")
 
-    least = float(-2 ** 62)
+    least = float(LEAST)
     home = F.pmod(F.xxhash64("query_id"), F.col("subs"))
     first = bounds.where("home").select("query_id", "cell", home.alias("sub"), F.lit(least).alias("floor"))
     first = stored(_search(shards, first, queries, dim, k), "first")

@@ -36,6 +36,39 @@ def test_floor_keeps_ties():
     assert found.tolist() == [3, 1] and score.tolist() == [3.0, 2.0]
 
 
+@pytest.mark.parametrize("n,same", [(300, 0), (300, 200)])
+def test_large_components(n, same):
+    """Scores beyond 2**53 that differ by less than a double can show."""
+    rng = np.random.default_rng(n + same)
+    rows = rng.integers(2 ** 28, 2 ** 28 + 40, (n, 16)) * rng.choice([-1, 1], (n, 1))
+    rows[:same] = rows[:1]
+    ids = rng.permutation(n).astype(np.int64)
+    floor = np.full(30, float(balltree.LEAST))
+    tree = balltree.BallTree(ids, rows.astype(float), 7, 8, rows)
+    want = brute(ids, rows, ids[:30], rows[:30], 7)
+    # Once without a floor, once with the k-th score, as a double, as the floor.
+    for _ in range(2):
+        at, found, score = tree.search(ids[:30], rows[:30].astype(float), floor, 7, rows[:30])
+        got = {int(q): list(zip(found[at == i].tolist(), score[at == i].tolist())) for i, q in enumerate(ids[:30])}
+        assert got == want
+        floor = np.array([float(want[int(q)][-1][1]) for q in ids[:30]])
+
+
+def test_large_vectors(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.integers(180_000, 180_020, 8)], 0, "") for i in range(120)]
+    vectors = balltree.usable(frame(spark, rows))
+    whole, ids = np.array([r[1] for r in rows]).astype(np.int64) * 64, np.arange(120)
+    want = brute(ids, whole, ids[::20], whole[::20], 5)
+    got = {}
+    for r in sorted(balltree.top_k(vectors, vectors.where("vec_id % 20 = 0"), 5, shard_rows=30).collect()):
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == want
+    with pytest.raises(Exception, match="exceed a long"):
+        huge = balltree.usable(frame(spark, [(1, [1e30, 1.0], 0, ""), (2, [1e30, 2.0], 0, "")]))
+        balltree.top_k(huge, huge, 5).collect()
+
+
 def frame(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, score string")
 
