@@ -16,6 +16,7 @@ from lexspark.sources.tables import Library
 SEGMENT_BUCKETS = 16
 _segments: dict[tuple[str, str], Segments] = {}
 _libraries: dict[tuple[str, str], Library] = {}
+_bounded: dict[tuple[str, str], Library] = {}
 
 
 def folder(spark: SparkSession, sf_dir: str, name: str) -> str:
@@ -37,6 +38,15 @@ def library(spark: SparkSession, sf_dir: str) -> Library:
     return _libraries[key]
 
 
+def bounded(spark: SparkSession, sf_dir: str) -> Library:
+    """The same library with score bounds, added on first use."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _bounded:
+        library(spark, sf_dir)
+        _bounded[key] = Library.save_bounds(spark, folder(spark, sf_dir, "library"))
+    return _bounded[key]
+
+
 def segments(spark: SparkSession, sf_dir: str) -> Segments:
     """The library's index in segments, made on first use; its first version is the base."""
     key = (spark.sparkContext.applicationId, sf_dir)

@@ -626,3 +626,7 @@ ORACLES["health_drift"] = with_(TESIS, INCOMING) + (
 ORACLES["health_keys"] = (
     "select cast(doc_id as varchar) as id_tesis, 2::bigint as filas, 'clave repetida' as problema from labels "
     "where doc_id in (select doc_id from documents)")
+
+# The same answers from a library with score bounds.
+for _plain, _bounded in (("order_relevance", "order_relevance_bounded"), ("topk_per_query", "topk_bounded"), ("search_similar", "search_similar_bounded")):
+    ORACLES[_bounded] = ORACLES[_plain]

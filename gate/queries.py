@@ -583,8 +583,8 @@ def result_summary(spark, sf):
     return profile.result_summary(search.search_batch(library(spark, sf), inputs.passages(spark, sf)))
 
 
-def _ordered(spark, sf, order: str) -> DataFrame:
-    lib = library(spark, sf)
+def _ordered(spark, sf, order: str, lib=None) -> DataFrame:
+    lib = lib or library(spark, sf)
     return _titled(lib, search.search_concept(lib, SYNONYMS, orden=order, limite=100, texts=False))
 
 
@@ -598,6 +598,11 @@ def order_relevance(spark, sf):
     return _ordered(spark, sf, rank.BY_SCORE)
 
 
+@query
+def order_relevance_bounded(spark, sf):
+    return _ordered(spark, sf, rank.BY_SCORE, inputs.bounded(spark, sf))
+
+
 @query
 def order_recent(spark, sf):
     return _ordered(spark, sf, rank.BY_DATE)
@@ -608,6 +613,11 @@ def topk_per_query(spark, sf):
     return search.search_batch(library(spark, sf), inputs.word_queries(spark, sf))
 
 
+@query
+def topk_bounded(spark, sf):
+    return search.search_batch(inputs.bounded(spark, sf), inputs.word_queries(spark, sf))
+
+
 @query
 def result_diff(spark, sf):
     lib = library(spark, sf)
@@ -699,6 +709,12 @@ def search_similar(spark, sf):
     return _titled(lib, search.search_similar(lib, "138", limite=40, texts=False))
 
 
+@query
+def search_similar_bounded(spark, sf):
+    lib = inputs.bounded(spark, sf)
+    return _titled(lib, search.search_similar(lib, "138", limite=40, texts=False))
+
+
 @query
 def search_circuit(spark, sf):
     lib = library(spark, sf)

@@ -159,11 +159,11 @@ class Lookups:
     def pushed_down(self, posts: DataFrame) -> DataFrame:
         return posts if self.tokens is None else posts.filter(one_of("tok", self.tokens))
 
-    def join_first_token(self, posts: DataFrame, rows: DataFrame) -> DataFrame:
+    def join_first_token(self, posts: DataFrame, rows: DataFrame, spread: str = "id_tesis") -> DataFrame:
         """Postings of the token each of these phrases is looked up by."""
         if self.small:
             return self.pushed_down(posts).join(F.broadcast(rows), "tok")
-        return salted_join(posts, rows, ["tok"], "id_tesis", one_of("tok", self.hot))
+        return salted_join(posts, rows, ["tok"], spread, one_of("tok", self.hot))
 
     def join_phrases(self, rows: DataFrame, per_phrase: DataFrame) -> DataFrame:
         """Add one value per phrase, if there is one, to rows keyed by phrase and document."""
@@ -286,17 +286,17 @@ def matching_hits(found: DataFrame, lookups: Lookups) -> DataFrame:
     return near if lookups.all_near else near.unionByName(found.filter(F.col("distancia").isNull()))
 
 
-def with_all_concepts(rows: DataFrame, *sums: Column) -> DataFrame:
+def with_all_concepts(rows: DataFrame, *sums: Column, document: tuple[str, ...] = ("id_tesis",)) -> DataFrame:
     """Documents per query in which every concept of the query occurs, with sums over
-    the rows. Rows are first brought to one per concept, so any number of concepts
+    the rows; `document` names their key. Rows are first brought to one per concept, so any number of concepts
     counts; a column summed must be an integer, of any order of addition."""
     names = [f"s{n}" for n in range(len(sums))]
-    each = rows.groupBy("query_id", "id_tesis", "concept").agg(
+    each = rows.groupBy("query_id", *document, "concept").agg(
         F.first("n_concepts").alias("n_concepts"), *[F.sum(c).alias(n) for c, n in zip(sums, names)])
     return (
-        each.groupBy("query_id", "id_tesis")
+        each.groupBy("query_id", *document)
         .agg(F.count("*").alias("held"), F.first("n_concepts").alias("n_concepts"), *[F.sum(n).alias(n) for n in names])
-        .filter("held = n_concepts").select("query_id", "id_tesis", *names)
+        .filter("held = n_concepts").select("query_id", *document, *names)
     )
 
 

@@ -13,6 +13,8 @@ BY_SCORE = "relevancia"
 BY_DATE = "reciente"
 BY_YEAR = "cronologico"
 BY_SIMILARITY = "similitud"
+# The best scores lead.
+SCORED = (BY_SCORE, BY_SIMILARITY)
 
 MAX_RESULTS = 100
 

@@ -30,12 +30,20 @@ def document_frequency(rows: DataFrame) -> DataFrame:
     )
 
 
+def weight(f: Column, dl: Column, average: float) -> Column:
+    """What frequency and length give, whatever the phrase's rarity."""
+    return f * (K1 + 1) / (f + K1 * (1 - B + B * dl / average))
+
+
+def units(lib: Library, n: Column, weight: Column) -> Column:
+    """A weight times the rarity of a phrase that `n` documents hold, in integer units."""
+    idf = F.greatest(F.ln((F.lit(lib.size[0]) - n + 0.5) / (n + 0.5)), F.lit(MIN_IDF))
+    return F.floor(idf * weight * UNIT + 0.5)
+
+
 def contribution(lib: Library, f: Column, n: Column, dl: Column) -> Column:
     """One phrase's part of the score of one document, in integer units."""
-    docs, average = lib.size
-    idf = F.greatest(F.ln((F.lit(docs) - n + 0.5) / (n + 0.5)), F.lit(MIN_IDF))
-    weight = f * (K1 + 1) / (f + K1 * (1 - B + B * dl / average))
-    return F.floor(idf * weight * UNIT + 0.5)
+    return units(lib, n, weight(f, dl, lib.size[1]))
 
 
 def as_bm25(units: Column) -> Column:
@@ -50,6 +58,13 @@ def _frequencies(found: DataFrame) -> DataFrame:
     )
 
 
+def phrase_frequencies(lib: Library, lookups: Lookups) -> DataFrame:
+    """The same of the phrases of several tokens, written once, with their documents counted."""
+    phrases = durable(_frequencies(match.phrase_hits(lib.postings, lookups, shortest=2)))
+    counted = lookups.join_phrases(phrases, document_frequency(phrases))
+    return counted.withColumn("n", F.coalesce("n", "counted")).drop("counted")
+
+
 def scored(lib: Library, lookups: Lookups) -> DataFrame:
     """(query_id, id_tesis, units) of every document that satisfies its query."""
     if lookups.has_near:
@@ -63,9 +78,7 @@ def scored(lib: Library, lookups: Lookups) -> DataFrame:
         if lookups.has_words or not lookups.has_phrases:
             parts.append(_frequencies(match.word_hits(lib.postings, lookups)))
         if lookups.has_phrases:
-            phrases = durable(_frequencies(match.phrase_hits(lib.postings, lookups, shortest=2)))
-            counted = lookups.join_phrases(phrases, document_frequency(phrases))
-            parts.append(counted.withColumn("n", F.coalesce("n", "counted")).drop("counted"))
+            parts.append(phrase_frequencies(lib, lookups))
         weighed = reduce(DataFrame.unionByName, parts)
     if lookups.has_near and lookups.has_phrases:
         weighed = lookups.join_phrases(weighed, document_frequency(found)).withColumn(

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import asdict
-from typing import Sequence
+from typing import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -19,7 +19,7 @@ from lexspark.functions import court
 from lexspark.functions.cards import NO_EPOCH, TIMELINE_TITLE, extract
 from lexspark.functions.text import keywords
 from lexspark.operators import filters as flt
-from lexspark.operators import match, rank, score
+from lexspark.operators import bounds, match, rank, score
 from lexspark.operators.filters import Filters
 from lexspark.operators.match import Lookups
 from lexspark.operators.snippet import snippets
@@ -102,8 +102,15 @@ def _listed(rows: DataFrame, order: Column, limit: Column) -> DataFrame:
 
 def ranked_one(lib: Library, lookups: Lookups, f: Filters, order: str, limit: int) -> DataFrame:
     """Rank the documents of a single query, its filters pushed to the corpus scan."""
-    scored = score.scored(lib, lookups)
     corpus = flt.apply_filters(lib.corpus, f)
+    if order in rank.SCORED and bounds.usable(lib, lookups):
+        def admitted(scored: DataFrame) -> DataFrame:
+            scored = durable(scored)
+            return scored.join(rows_of(corpus, scored).select(*_RANKING), "id_tesis")
+
+        best = bounds.scored(lib, lookups, admitted, F.lit(limit))
+        return _listed(admitted(best), F.lit(order), F.lit(limit))
+    scored = score.scored(lib, lookups)
     if lookups.most is not None and lookups.most <= FEW_DOCUMENTS:
         # Few documents can match: fetch just their metadata by id.
         scored = durable(scored)
@@ -116,25 +123,38 @@ def ranked_one(lib: Library, lookups: Lookups, f: Filters, order: str, limit: in
 
 def ranked_batch(lib: Library, queries: DataFrame, lookups: Lookups) -> DataFrame:
     """Rank every query of a completed table; filters, order and limit are per query."""
-    scored = score.scored(lib, lookups)
+    admitted = _admitted(lib, queries)
+    if bounds.usable(lib, lookups) and not queries.filter(~F.col("orden").isin(*rank.SCORED)).head(1):
+        scored = bounds.scored(lib, lookups, admitted, F.col("limite"))
+    else:
+        scored = score.scored(lib, lookups)
+    return _listed(admitted(scored), F.col("orden"), F.col("limite"))
+
+
+def _admitted(lib: Library, queries: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Joins scored rows with their query and criterion and applies the query's filters."""
     asked = flt.checked_filters(queries).select(
         "query_id", "orden", "limite",
         F.struct(*[F.col(name) for name in asdict(Filters())]).alias("q"),
     )
     needed = [*_RANKING, "materias", "epoca"]
     meta = lib.corpus.select("id_tesis", F.struct(*needed).alias("c"))
-    # Few queries are broadcast; a large table is joined with its hot queries
-    # dealt out by document.
-    if small_rows(queries.select("query_id")) is not None:
-        rows = scored.join(F.broadcast(asked), "query_id")
-    else:
-        rows = match.salted_join(scored, asked, ["query_id"], "id_tesis")
-    rows = (
-        rows.join(meta, "id_tesis")
-        .filter(flt.query_condition("q", "c"))
-        .select("query_id", "units", "orden", "limite", "c.*")
-    )
-    return _listed(rows, F.col("orden"), F.col("limite"))
+    few = small_rows(queries.select("query_id")) is not None
+
+    def admitted(scored: DataFrame) -> DataFrame:
+        # Few queries are broadcast; a large table is joined with its hot queries
+        # dealt out by document.
+        if few:
+            rows = scored.join(F.broadcast(asked), "query_id")
+        else:
+            rows = match.salted_join(scored, asked, ["query_id"], "id_tesis")
+        return (
+            rows.join(meta, "id_tesis")
+            .filter(flt.query_condition("q", "c"))
+            .select("query_id", "units", "orden", "limite", "c.*")
+        )
+
+    return admitted
 
 
 def scanned(lib: Library, concepts: list[list[str]], scope: str = "todo") -> DataFrame:

@@ -20,19 +20,28 @@ from lexspark.session import durable, one_of, small_rows
 PARTITION = "epoca_part"
 # Layout of a saved library; a reader refuses another version.
 VERSION = 2
-MANIFEST = "version int, buckets int, pieces boolean"
+MANIFEST = "version int, buckets int, pieces boolean, bounds boolean"
 _TABLES = {
     # table: (sort columns, partitioned)
     "corpus": (("anio", "id_tesis"), True),
     "postings": (("tok", "id_tesis"), False),
     "doc_stats": (("id_tesis",), False),
     "pieces": (("piece", "campo", "id_tesis"), False),
+    "blocks": (("id_tesis",), False),
+    "impacts": (("tok", "block"), False),
+    "bounds": (("tok", "block"), False),
 }
+_KEY = {"impacts": "block", "bounds": "block"}  # all others: the id
+# Tables that a library can do without.
+_OPTIONAL = {"pieces": "pieces", "blocks": "bounds", "impacts": "bounds", "bounds": "bounds"}
 # Columns of the index tables, which may have no file; the corpus may have columns of its own.
 _COLUMNS = {
     "postings": "id_tesis string, dl int, col string, tok string, pos array<int>",
     "doc_stats": "id_tesis string, dl int, content_hash bigint",
     "pieces": "id_tesis string, campo string, piece string",
+    "blocks": "id_tesis string, block bigint",
+    "impacts": "block bigint, tok string, id_tesis string, dl int, f_todo int, f_rubro int, f_texto int",
+    "bounds": "block bigint, tok string, weight double",
 }
 
 
@@ -45,7 +54,11 @@ class Library:
     doc_stats: DataFrame
     term_stats: DataFrame
     corpus_stats: DataFrame
-    pieces: DataFrame | None = None  # for substrings; a library can do without
+    # For substrings, and for the best by score; a library can do without.
+    pieces: DataFrame | None = None
+    blocks: DataFrame | None = None
+    impacts: DataFrame | None = None
+    bounds: DataFrame | None = None
 
     @cached_property
     def size(self) -> tuple[int, float]:
@@ -82,8 +95,22 @@ class Library:
         )
         if pieces:
             _write(substrings.pieces(stored), root, "pieces", buckets)
-        layout = spark.createDataFrame([(VERSION, buckets, pieces)], MANIFEST)
-        layout.coalesce(1).write.mode("overwrite").json(f"{root}/manifest")
+        _write_manifest(spark, root, buckets, pieces, False)
+        return Library.open(spark, root)
+
+    @staticmethod
+    def save_bounds(spark: SparkSession, root: str) -> "Library":
+        """Add score bounds to a saved library: searches by score then read only what can
+        reach the best. For corpora in which a query's words match millions of criteria."""
+        from lexspark.operators import bounds  # built on the scores, which read libraries
+
+        lib = Library.open(spark, root)
+        layout = spark.read.schema(MANIFEST).json(f"{root}/manifest").first()
+        _write(bounds.blocks(lib.doc_stats, layout.buckets), root, "blocks", layout.buckets)
+        counted = bounds.impacts(lib.postings, spark.table(_name(root, "blocks")))
+        _write(counted.repartition(layout.buckets, "block"), root, "impacts", layout.buckets)
+        _write(bounds.bounds(spark.table(_name(root, "impacts")), lib.size[1]), root, "bounds", layout.buckets)
+        _write_manifest(spark, root, layout.buckets, layout.pieces, True)
         return Library.open(spark, root)
 
     @staticmethod
@@ -93,7 +120,7 @@ class Library:
         layout = spark.read.schema(MANIFEST).json(f"{root}/manifest").first()
         if layout is None or layout.version != VERSION:
             raise ValueError(f"{root}: no library of version {VERSION}")
-        tables = [t for t in _TABLES if t != "pieces" or layout.pieces]
+        tables = [t for t in _TABLES if t not in _OPTIONAL or layout[_OPTIONAL[t]]]
         for table in tables:
             _register(spark, root, table, layout.buckets)
         return Library(
@@ -102,10 +129,15 @@ class Library:
             spark.table(_name(root, "doc_stats")),
             spark.read.parquet(f"{root}/term_stats"),
             spark.read.parquet(f"{root}/corpus_stats"),
-            spark.table(_name(root, "pieces")) if "pieces" in tables else None,
+            *[spark.table(_name(root, t)) if t in tables else None for t in _OPTIONAL],
         )
 
 
+def _write_manifest(spark: SparkSession, root: str, buckets: int, pieces: bool, bounds: bool) -> None:
+    layout = spark.createDataFrame([(VERSION, buckets, pieces, bounds)], MANIFEST)
+    layout.coalesce(1).write.mode("overwrite").json(f"{root}/manifest")
+
+
 def rows_of(table: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows of a bucketed table for the ids of a result that is cheap to read again.
 
@@ -149,7 +181,7 @@ def _write(df: DataFrame, root: str, table: str, buckets: int) -> None:
         writer = writer.partitionBy(PARTITION)
         for key in ("id_tesis", "tesis_codigo"):
             writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true")
-    writer.bucketBy(buckets, "id_tesis").sortBy(*sort).saveAsTable(_name(root, table))
+    writer.bucketBy(buckets, _KEY.get(table, "id_tesis")).sortBy(*sort).saveAsTable(_name(root, table))
 
 
 def _register(spark: SparkSession, root: str, table: str, buckets: int) -> None:
@@ -163,7 +195,7 @@ def _register(spark: SparkSession, root: str, table: str, buckets: int) -> None:
     spark.sql(
         f"CREATE TABLE {name} ({columns}) USING parquet "
         + (f"PARTITIONED BY ({PARTITION}) " if partitioned else "")
-        + f"CLUSTERED BY (id_tesis) SORTED BY ({', '.join(sort)}) INTO {buckets} BUCKETS "
+        + f"CLUSTERED BY ({_KEY.get(table, 'id_tesis')}) SORTED BY ({', '.join(sort)}) INTO {buckets} BUCKETS "
         + f"LOCATION '{root}/{table}'"
     )
     if partitioned:
