@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexspark.functions.text import tokens
@@ -25,29 +25,35 @@ def tokenized(corpus: DataFrame) -> DataFrame:
     return columns.withColumn("dl", total)
 
 
-def positions(corpus: DataFrame) -> DataFrame:
-    """One row per token occurrence: id_tesis, dl, col, pos, tok."""
-    fields = F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).alias("tk")) for c in INDEXED])
-    return (
-        tokenized(corpus)
-        .select("id_tesis", "dl", F.explode(fields).alias("field"))
-        .select("id_tesis", "dl", "field.col", F.posexplode("field.tk").alias("pos", "tok"))
-    )
-
-
 def postings(corpus: DataFrame) -> DataFrame:
     """One row per (document, column, token) with its sorted positions.
 
-    A group is one token of one document, so it is bounded by the document.
+    The tokens of a column are sorted inside their row and cut into runs of one token,
+    so no row per occurrence is ever made, shuffled or spilled.
     """
+    fields = F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).alias("tk")) for c in INDEXED])
+    s, begins = F.col("s"), F.col("begins")
+
+    def tok(i: Column) -> Column:
+        return F.get(s, i)["tok"]
+
+    def run(begin: Column, n: Column) -> Column:
+        last = F.coalesce(F.get(begins, n + 1), F.size(s)) - 1
+        return F.struct(tok(begin).alias("tok"), F.transform(F.sequence(begin, last), lambda i: F.get(s, i)["pos"]).alias("pos"))
+
+    sorted_tokens = F.sort_array(F.transform("tk", lambda t, i: F.struct(t.alias("tok"), i.alias("pos"))))
     return (
-        positions(corpus)
-        .groupBy("id_tesis", "dl", "col", "tok")
-        .agg(F.sort_array(F.collect_list("pos")).alias("pos"))
+        tokenized(corpus)
+        .select("id_tesis", "dl", F.explode(fields).alias("field"))
+        .select("id_tesis", "dl", "field.*").filter(F.size("tk") > 0)
+        .select("id_tesis", "dl", "col", sorted_tokens.alias("s"))
+        .withColumn("begins", F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: ~tok(i).eqNullSafe(tok(i - 1))))
+        .select("id_tesis", "dl", "col", F.explode(F.transform(begins, run)).alias("run"))
+        .select("id_tesis", "dl", "col", "run.tok", "run.pos")
     )
 
 
-def content_hash() -> F.Column:
+def content_hash() -> Column:
     """Fingerprint of the indexed text, to see when the index is stale."""
     return F.xxhash64(*[F.coalesce(F.col(c), F.lit("")) for c in INDEXED])
 
