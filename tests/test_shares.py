@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 from lexspark.operators import index, substrings
-from lexspark.sources import tables
+from lexspark.sources import segments, tables
 from lexspark.sources.tables import Library
 
 
@@ -56,3 +56,19 @@ def test_runs_of_few_letters(monkeypatch):
     monkeypatch.setattr(substrings, "_CHUNK", 5)
     assert list(substrings._chunks([9, 2, 2, 2, 0, 7])) == [(0, 1), (1, 3), (3, 5), (5, 6)]
     assert list(substrings._chunks([])) == []
+
+
+def test_a_large_bucket_of_segments_is_written_by_several_tasks(spark, criteria, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "SHARE", 300)
+    monkeypatch.setattr(segments, "TOKENS", 100)
+    df = corpus(criteria).dropDuplicates(["id_tesis"]).localCheckpoint()
+    made = segments.Segments.create(df, str(tmp_path / "segments"), 2)
+    made.refresh(df.limit(0), df.select("id_tesis").limit(30))
+    assert made.fold() == [0, 1]
+    left = made.docs().select("id_tesis")
+    want = index.postings(df.join(left, "id_tesis", "left_semi"))
+    names = ["id_tesis", "dl", "col", "tok", "pos"]
+    assert Counter(map(str, made.postings().select(names).collect())) == Counter(map(str, want.select(names).collect()))
+    for version in (1, 3):
+        for bucket in (0, 1):
+            assert len(list(Path(tmp_path).glob(f"segments/postings/version={version}/*/bucket={bucket}/*.parquet"))) > 1
