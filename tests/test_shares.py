@@ -72,3 +72,15 @@ def test_a_large_bucket_of_segments_is_written_by_several_tasks(spark, criteria,
     for version in (1, 3):
         for bucket in (0, 1):
             assert len(list(Path(tmp_path).glob(f"segments/postings/version={version}/*/bucket={bucket}/*.parquet"))) > 1
+
+
+def test_impacts_of_a_large_bucket_are_sorted_by_several_tasks(spark, criteria, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "TOKENS", 5)
+    rows = [{"id_tesis": str(n), "rubro": "uno dos", "texto": f"uno w{n % 9}"} for n in range(400)]
+    root = tmp_path / "lib"
+    Library.save(criteria(rows), str(root), 2)
+    made = Library.save_bounds(spark, str(root))
+    files = [f.name.split(".")[0] for f in Path(root / "impacts").glob("*.parquet")]
+    assert len(files) > 2 and len({f.split("-")[1] for f in files}) == len(files)
+    assert sorted((r.id_tesis, r.tok, r.f_todo) for r in made.impacts.collect()) == sorted(
+        (str(n), t, f) for n in range(400) for t, f in (("uno", 2), ("dos", 1), (f"w{n % 9}", 1)))
