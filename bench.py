@@ -62,7 +62,7 @@ def main() -> None:
         more = corpus.count() - few.count()
         seconds = max(times["index_build"] - times["index_build_small"], 1e-3)
         extra["index_documents_per_sec"] = round(more / seconds, 1)
-    inputs.library(spark, sf_dir)
+    inputs.library(spark, sf_dir).complete()
     # The index that `postings_refresh` refreshes is stored, too; the refresh alone is timed.
     extra["segments_build_sec"] = timed(lambda: inputs.segments(spark, sf_dir))
     for name in HEADLINE:
