@@ -80,3 +80,45 @@ def test_ids_that_come_twice_and_many_filters_take_the_plain_way(spark, monkeypa
     assert together.filter_kinds(table.unionByName(table), lookups) is None
     monkeypatch.setattr(together, "MAX_KINDS", 1)
     assert together.filter_kinds(table, lookups) is None
+
+
+def test_nothing_grows_with_shares_times_queries(spark, small, monkeypatch):
+    """A task keeps a query's best of all its shares; what it hands on does not grow with the shares."""
+    asked = batch(spark).where("orden = 'vinculancia'")
+    want = rows(search.search_batch(small, asked))
+    for name, value in (("SHARE", 1), ("FEWEST", 2), ("TASKS", 0), ("_ROWS", 3)):
+        monkeypatch.setattr(together, name, value)
+    seen, plain = [], search._listed
+
+    def counted(found, order, limit):
+        seen.append(found.groupBy("query_id").count().agg(F.max("count")).first()[0])
+        return plain(found, order, limit)
+
+    monkeypatch.setattr(search, "_listed", counted)
+    # Without tasks for the cores, one task meets all shares.
+    assert rows(search.search_batch(small, asked)) == want
+    # Limits are 3 to 8; ties with the last place stay.
+    assert seen and seen[0] <= 20
+
+
+def test_sums_that_doubles_cannot_hold(spark, small, monkeypatch):
+    want = rows(search.search_batch(small, batch(spark)))
+    monkeypatch.setattr(together, "_EXACT", 0)
+    assert rows(search.search_batch(small, batch(spark))) == want
+
+
+def test_a_few_phrases_are_broadcast_and_read_their_own_tokens(spark, small, monkeypatch):
+    want = rows(search.search_batch(small, batch(spark)))
+    monkeypatch.setattr(match, "small_rows", lambda df: None)
+    monkeypatch.setattr(match, "BROADCAST_TERMS", 3)
+    read, plain = [], Lookups.with_other_tokens
+
+    def counted(self, posts, phrases):
+        found = plain(self, posts, phrases)
+        read.append({r.tok for r in found.select("tok").distinct().collect()})
+        return found
+
+    monkeypatch.setattr(Lookups, "with_other_tokens", counted)
+    assert rows(search.search_batch(small, batch(spark))) == want
+    # "ley de" and "de la": the postings of their first tokens are not read again.
+    assert read and set.union(*read) < {"de", "la", "ley"}
