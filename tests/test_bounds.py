@@ -125,3 +125,22 @@ def test_few_texts(spark, criteria, tmp_path):
         found = rows(search.search_concept(lib, ["ley"], orden="relevancia", texts=False))
         assert found == rows(search.search_concept(plain, ["ley"], orden="relevancia", texts=False))
         assert len(found) == ("ley" in texts) and Library.open(spark, root).impacts is not None
+
+
+def test_impacts_are_counted_from_texts(spark, criteria, tmp_path, monkeypatch):
+    """The rows that the postings give, ids that come twice included; of postings only these are grouped."""
+    made = [{"id_tesis": str(i % 27), "rubro": "uno dos uno" if i % 4 else None, "texto": f"uno w{i % 5} uno " * (i % 6), "materias": "uno"} for i in range(30)]
+    df = criteria(made)
+    grouped, plain = [], bounds.impacts
+
+    def counted(posts, placed):
+        grouped.append({r.id_tesis for r in posts.select("id_tesis").distinct().collect()})
+        return plain(posts, placed)
+
+    monkeypatch.setattr(bounds, "impacts", counted)
+    Library.save(df, str(tmp_path / "lib"), 2)
+    lib = Library.save_bounds(spark, str(tmp_path / "lib"))
+    names = ["block", "tok", "id_tesis", "dl", "f_todo", "f_rubro", "f_texto"]
+    want = sorted(map(tuple, plain(lib.postings, lib.blocks).select(names).collect()))
+    assert sorted(map(tuple, lib.impacts.select(names).collect())) == want and want
+    assert grouped == [{"0", "1", "2"}]
